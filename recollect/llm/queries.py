@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import encoding, leakage, neardup, splitting
+from recollect.llm import encoding, leakage, neardup, reading, splitting
 from recollect.runtime import materialize, table
 
 #: Folder of the public tokenizers' files.
@@ -58,7 +58,11 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max(F.col("covered") / F.col("passage_words")), 6).alias("most_covered"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_matches, p7_items)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_ratings"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_matches, p7_items, p8_found)}
 
 SQL = {
     "p5_found": """
