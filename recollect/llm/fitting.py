@@ -24,27 +24,30 @@ def softmax_classes(model, x: np.ndarray) -> np.ndarray:
     return (np.c_[(x - mean) / scale, np.ones(len(x))] @ b).argmax(1)
 
 
-def logistic_fit(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray | None = None, rounds: int = 60, rate: float = 0.5, ridge: float = 1e-6) -> np.ndarray:
-    """Logistic regression on hashed binary features given as (row, column) pairs, by AdaGrad over shuffled blocks."""
+def logistic_fit(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray | None = None, rounds: int = 150, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression on hashed binary features given as (row, column) pairs.
+
+    Accelerated gradient descent, each coordinate scaled by a bound of its curvature; ``ridge`` counts as so many examples.
+    """
     n = len(y)
     weight = np.ones(n) if weight is None else weight
-    start = np.searchsorted(rows, np.arange(n + 1))
-    w, g2 = np.zeros(width), np.full(width, 1e-8)
-    rng = np.random.default_rng(7)
-    block = max(64, n // 40)
+    used, at = np.unique(columns, return_inverse=True)
+    row_weight = weight[rows]
+    step = 1 / (np.bincount(rows, minlength=n).max() * (0.25 * np.bincount(at, row_weight, len(used)) + ridge))
+    w = np.zeros(len(used))
+    ahead, t = w, 1.0
     for _ in range(rounds):
-        order = rng.permutation(n)
-        for k in range(0, n, block):
-            pick = np.sort(order[k : k + block])
-            size = start[pick + 1] - start[pick]
-            at = np.repeat(start[pick] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
-            cols, of = columns[at], np.repeat(np.arange(len(pick)), size)
-            s = np.bincount(of, w[cols], len(pick))
-            err = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y[pick]) * weight[pick]
-            g = np.bincount(cols, err[of], width) / len(pick) + ridge * w
-            g2 += g * g
-            w -= rate * g / np.sqrt(g2)
-    return w
+        err = (1 / (1 + np.exp(-np.clip(np.bincount(rows, ahead[at], n), -30, 30))) - y) * weight
+        g = np.bincount(at, err[rows], len(used)) + ridge * ahead
+        new = ahead - step * g
+        following = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        ahead = new + (t - 1) / following * (new - w)
+        if g @ (new - w) > 0:  # uphill: start over from here
+            ahead, following = new, 1.0
+        w, t = new, following
+    out = np.zeros(width)
+    out[used] = w
+    return out
 
 
 def logistic_scores(rows: np.ndarray, columns: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:

@@ -10,7 +10,8 @@ near-duplicates if they share at least ``threshold`` of the longer one's words.
 4. Bands are triples of bins that pairwise share at most one bin. Classes with an equal band share a bucket.
 5. A bucket of m classes gives m-1 candidate edges: a star around its least class, found by a map-side combined
    aggregation. No bucket is gathered in a task, and none gives all its pairs.
-6. Edges are deduplicated and checked exactly. Neighbours of a common class are then checked against each other until no
+6. Edges are deduplicated and checked word by word, on 32-bit hashes (a pair's count is off by one with a chance of less
+   than one in a million). Neighbours of a common class are then checked against each other until no
    new link turns up, which returns the pairs inside a group that the stars skip.
 
 Null, blank and wordless texts are no case. Rows that repeat a key count once; a key with several texts takes part with
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.words import U, Vocabulary, hashed, list_array, mix, offsets, slices
-from recollect.runtime import materialize
+from recollect.runtime import discard, materialize
 
 CELLS = 1 << 16
 BINS = 17
@@ -35,7 +36,7 @@ NO_RANK = np.int64(1 << 62)
 
 
 def bags(batches):
-    """(id, b1, b2, n, tokens) of each text with at least one word; tokens are sorted, b1 and b2 hash them."""
+    """(id, b1, b2, n, tokens) of each text with at least one word; tokens are 32 bits of the sorted hashes; b1 and b2 hash all of them."""
     vocabulary = Vocabulary()
     for batch in batches:
         for part, texts in slices(batch, "text"):
@@ -57,8 +58,9 @@ def bags(batches):
             b1 = mix(np.add.reduceat(mix(tokens + U(1)), starts))
             b2 = mix(np.add.reduceat(mix(tokens ^ U(0x5851F42D4C957F2D)), starts))
             keep = pa.array(has)
+            short = (tokens >> U(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).filter(keep), part.column(1).filter(keep), pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64)), pa.array(counts[has].astype(np.int32)), list_array(tokens.view(np.int64), counts[has])],
+                [part.column(0).filter(keep), part.column(1).filter(keep), pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64)), pa.array(counts[has].astype(np.int32)), list_array(short, counts[has])],
                 names=["tbl", "id", "b1", "b2", "n", "tokens"],
             )
 
@@ -66,9 +68,10 @@ def bags(batches):
 def band_keys(tokens: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.ndarray:
     """One hash per band (columns) and text (rows; each has a word). ``common``: log2 of a word's count, by cell."""
     n = len(counts)
+    cells, tokens = tokens.astype(np.int64) % CELLS, mix(tokens.astype(U))
     doc = np.repeat(np.arange(n), counts)
     slot = (mix(tokens ^ U(0xA24BAED4963EE407)) % U(BINS)).astype(np.int64)
-    rank = (common[(tokens % U(CELLS)).astype(np.int64)].astype(np.int64) << 56) | (mix(tokens) >> U(8)).astype(np.int64)
+    rank = (common[cells].astype(np.int64) << 56) | (mix(tokens) >> U(8)).astype(np.int64)
     order = np.lexsort((rank, slot, doc))
     cell = doc[order] * BINS + slot[order]
     first = np.ones(len(cell), bool)
@@ -112,13 +115,13 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8) -> tuple[DataFra
     named after their least id. Copies within a class are near-duplicates of each other without a link.
     """
     spark = records.sparkSession
-    rows = materialize(records.select("tbl", "id", "text").mapInArrow(bags, "tbl string, id string, b1 long, b2 long, n int, tokens array<long>"), "bags")
-    members = rows.groupBy("tbl", "b1", "b2", "id").agg(F.first("n").alias("n"))
-    named = members.groupBy("tbl", "b1", "b2").agg(F.min("id").alias("cls"))
-    members = materialize(members.join(named, ["tbl", "b1", "b2"]).select("tbl", "id", "cls"), "members")
+    rows = materialize(records.select("tbl", "id", "text").mapInArrow(bags, "tbl string, id string, b1 long, b2 long, n int, tokens array<int>"), "bags")
+    named = rows.groupBy("tbl", "b1", "b2").agg(F.min("id").alias("cls"))
+    members = materialize(rows.select("tbl", "id", "b1", "b2").distinct().join(named, ["tbl", "b1", "b2"]).select("tbl", "id", "cls"), "members")
     classes = rows.join(named.withColumnRenamed("cls", "id"), ["tbl", "b1", "b2", "id"]).select("tbl", F.col("id").alias("cls"), "n", "tokens").dropDuplicates(["tbl", "cls"])
     classes = materialize(classes, "classes")
-    counts = classes.select(F.explode("tokens").alias("t")).groupBy(F.expr(f"cast(t & {CELLS - 1} as int)").alias("cell")).count().collect()  # at most CELLS rows
+    discard(rows)
+    counts = classes.select(F.explode("tokens").alias("t")).groupBy(F.expr(f"t & {CELLS - 1}").alias("cell")).count().collect()  # at most CELLS rows
     common = np.zeros(CELLS, np.uint8)
     for cell, count in counts:
         common[cell] = min(63, int(count).bit_length())
@@ -128,16 +131,19 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8) -> tuple[DataFra
         for batch in batches:
             if batch.num_rows:
                 column = batch.column(3)
-                tokens = column.flatten().to_numpy().view(U)
+                tokens = column.flatten().to_numpy().view(np.uint32)
                 n = np.diff(column.offsets.to_numpy()).astype(np.int64)
                 keys = band_keys(tokens, n, sketch.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), list_array(keys.reshape(-1).view(np.int64), np.full(len(n), keys.shape[1]))], names=["tbl", "cls", "n", "bands"])
 
-    bucket = classes.mapInArrow(banded, "tbl string, cls string, n int, bands array<long>").select("tbl", "cls", "n", F.explode("bands").alias("band"))
-    bucket = materialize(bucket, "buckets")
-    hubs = bucket.groupBy("tbl", "band").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("tbl", "band", "hub")
-    fits = F.least("n", "hub.n") >= threshold * F.greatest("n", "hub.n")
-    edges = bucket.join(hubs, ["tbl", "band"]).where((F.col("cls") != F.col("hub.cls")) & fits).select("tbl", F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    # one exchange of the bands serves the stars' centres and their rays
+    bucket = classes.mapInArrow(banded, "tbl string, cls string, n int, bands array<long>").select("tbl", "cls", "n", F.explode("bands").alias("band")).repartition("tbl", "band")
+    hubs = bucket.groupBy("tbl", "band").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).where("m > 1").select("tbl", "band", "hub")
+    edges = bucket.join(hubs, ["tbl", "band"]).where("cls <> hub").select("tbl", F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+    edges = materialize(edges, "edges")
+    ends = edges.select("tbl", F.col("a").alias("cls")).union(edges.select("tbl", F.col("b").alias("cls"))).distinct()
+    whole, classes = classes, materialize(classes.join(ends, ["tbl", "cls"], "left_semi"), "classes")
+    discard(whole)
     links = materialize(checked(edges, classes, threshold), "links")
     fresh = links
     while True:

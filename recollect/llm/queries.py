@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import encoding, leakage, neardup, reading, splitting
+from recollect.llm import defects, encoding, leakage, neardup, reading, splitting, totals, truncation
 from recollect.runtime import materialize, table
 
 #: Folder of the public tokenizers' files.
@@ -32,6 +32,35 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(*neardup.near_duplicates(records(spark, d)))
 
 
+def p2_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return totals.estimate(table(spark, d, "sessions"), table(spark, d, "personas"), f"{TOKENIZERS}/byte_bpe_50k.json")[0]
+
+
+def p2_holdout(spark: SparkSession, d: str) -> DataFrame:
+    return totals.estimate(table(spark, d, "sessions"), table(spark, d, "personas"), f"{TOKENIZERS}/byte_bpe_50k.json")[1]
+
+
+def p3_scored(spark: SparkSession, d: str) -> DataFrame:
+    kp = table(spark, d, "key_points").select(F.lit("key_points").alias("tbl"), F.col("kp_id").alias("rec_id"), F.lit(0).alias("turn"), "source", F.col("content").alias("text"))
+    m = messages(spark, d).select(F.lit("sessions").alias("tbl"), F.col("session_id").cast("string").alias("rec_id"), "turn", "source", F.col("content").alias("text"))
+    both = kp.union(m).withColumn("source", truncation.source_key(F.col("source")))
+    return truncation.truncated(both, ["tbl", "rec_id", "turn"], "text", ["tbl", "source"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_scored(spark, d).where("truncated").select("tbl", "rec_id", F.col("turn").cast("int").alias("turn")).distinct()
+
+
+def p3_share(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    s = p3_scored(spark, d).groupBy("tbl", "source").agg(F.count("*").alias("records"), F.sum(F.col("truncated").cast("int")).alias("truncated"))
+    return s.select("tbl", "source", "records", "truncated", F.round(F.col("truncated") / F.col("records"), 6).alias("share"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defective(table(spark, d, "queries"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).select("session_id", "turn").distinct()
 
@@ -62,7 +91,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_ratings"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_matches, p7_items, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_tokens, p2_holdout, p3_found, p3_share, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p7_matches, p7_items, p8_found)}
 
 SQL = {
     "p5_found": """
