@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from recollect.plans import curation, filters, graphs, metrics, reports, retrieval, stores, streams  # noqa: F401
+from recollect.plans.registry import QUERIES, SQL  # noqa: F401
