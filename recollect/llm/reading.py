@@ -7,7 +7,7 @@
 3. A document is described by quantiles of its known words' grades; these are calibrated against the ratings, per script
    of the document, by a multinomial logistic regression.
 
-At most ``MOST_RATED`` rated documents are used, the first in the order of a hash of their id; the grades' table and the
+About ``MOST_RATED`` rated documents at most are used, chosen by a hash of their id; the grades' table and the
 features gathered on the driver are bounded by that. Every document is scored on its whole text. Documents with no known
 word get the most frequent rated level; without any usable rating there are no rows. Null texts and documents below the
 length: no row. Repeated documents give one row each time.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.fitting import softmax_classes, softmax_fit
-from recollect.llm.words import HAN, slices
+from recollect.llm.words import HAN, sampled, slices
 from recollect.runtime import materialize
 
 LEVELS = ("plain", "general", "advanced", "specialist")
@@ -94,8 +94,8 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_R
     src = docs.select("doc_id", "text").where("text is not null")
     kind = src.schema["doc_id"].dataType.simpleString()
     votes = clean_ratings(ratings)
-    chosen = votes.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rated)
-    rated = materialize(src.join(votes.join(chosen, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("level", "weight")).alias("votes")), "doc_id").dropDuplicates(["doc_id"]), "rated")
+    chosen = sampled(votes, ["doc_id"], votes.agg(F.countDistinct("doc_id")).first()[0], most_rated)
+    rated = materialize(src.join(chosen.groupBy("doc_id").agg(F.collect_list(F.struct("level", "weight")).alias("votes")), "doc_id").dropDuplicates(["doc_id"]), "rated")
 
     def count(batches):
         for batch in batches:
@@ -138,7 +138,7 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_R
                 x, n, zh, _ = features(texts, shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(2), pa.array([*x]), pa.array(n), pa.array(zh)], names=["votes", "x", "n", "zh"])
 
-    sample = rated.mapInArrow(describe, "votes array<struct<level:int,weight:double>>, x array<double>, n long, zh boolean").collect()  # most_rated rows at most
+    sample = rated.mapInArrow(describe, "votes array<struct<level:int,weight:double>>, x array<double>, n long, zh boolean").collect()  # about most_rated rows at most
     prior = np.zeros(4)
     models = {}
     for zh in (False, True, None):

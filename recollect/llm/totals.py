@@ -2,7 +2,7 @@
 
 1. Every session is measured on the JVM: bytes, words, digits, punctuation, Han and other non-ASCII letters, white space and
    messages, over the whole of all its messages.
-2. At most ``MOST_ENCODED`` sessions, the first by a hash of their id, are encoded with an existing tokenizer.
+2. About ``MOST_ENCODED`` sessions, chosen by a hash of their id, are encoded with an existing tokenizer.
 3. On three fifths of these, a least-squares regression per language predicts tokens from the measures; a fifth gives the
    ratio by which each language's predictions are corrected; the last fifth shows the error that is left.
 4. The models predict every session, and the totals are summed by source, language and category of the persona.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.encoding import Bpe
-from recollect.llm.words import slices
+from recollect.llm.words import sampled, slices
 from recollect.runtime import materialize
 
 MOST_ENCODED = 4_000
@@ -76,7 +76,7 @@ def estimate(sessions: DataFrame, personas: DataFrame, tokenizer: str, most_enco
     one = materialize(one, "measured")
 
     parts = spark.sparkContext.broadcast(Bpe.parts(tokenizer))
-    chosen = one.select("session_id").orderBy(F.xxhash64("session_id"), "session_id").limit(most_encoded)
+    chosen = sampled(one.select("session_id"), ["session_id"], one.count(), most_encoded)
     contents = sessions.join(chosen, "session_id").dropDuplicates(["session_id"]).select("session_id", F.explode("messages").alias("m")).select("session_id", F.col("m.content").alias("text"))
     kind = contents.schema["session_id"].dataType.simpleString()
 
@@ -87,7 +87,7 @@ def estimate(sessions: DataFrame, personas: DataFrame, tokenizer: str, most_enco
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bpe.encode(texts)[1])], names=["session_id", "tokens"])
 
     true = contents.mapInArrow(count, f"session_id {kind}, tokens long").groupBy("session_id").agg(F.sum("tokens").alias("tokens"))
-    sample = one.join(true, "session_id").select("lang", "tokens", *MEASURES, F.pmod(F.xxhash64("session_id", F.lit(5)), F.lit(5)).alias("part")).collect()  # most_encoded rows at most
+    sample = one.join(true, "session_id").select("lang", "tokens", *MEASURES, F.pmod(F.xxhash64("session_id", F.lit(5)), F.lit(5)).alias("part")).collect()  # about most_encoded rows
     models, report = {}, []
     x = np.array([[r[k] for k in MEASURES] for r in sample], float).reshape(len(sample), len(MEASURES))
     y = np.array([r["tokens"] for r in sample], float)

@@ -11,6 +11,8 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 HAN = "〇㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{HAN}]|[^\W_{HAN}]+")
@@ -60,6 +62,16 @@ def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets(counts).astype(np.int32)), pa.array(values))
 
 
+def sampled(df: DataFrame, keys: list, rows: int, most: int) -> DataFrame:
+    """About ``most`` of ``rows`` rows (all, if there are fewer): those whose hash of the keys lies under a threshold.
+
+    Each row is kept or not by itself, so nothing is sorted or gathered; the expected size is at most ``most``.
+    """
+    if rows <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(most / rows * (1 << 40)))
+
+
 def slices(batch: pa.RecordBatch, column: str, most_chars: int = 2_000_000):
     """Parts of a batch with a bounded amount of text, so that a worker's memory stays bounded."""
     texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
