@@ -30,7 +30,7 @@ def chunked(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    parts = F.filter(F.transform(F.split("text", "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("text", "\n\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
     return docs.select("doc_id", F.posexplode(parts).alias("chunk", "text"))
 
 

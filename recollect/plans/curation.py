@@ -46,7 +46,7 @@ def _(spark, d):
     return sessions(spark, d).select("session_id", F.when(F.col("noise_family_id").isNotNull(), "family").when(F.col("noise_id").isNotNull(), "health").otherwise("none").alias("kind"))
 
 
-@query("F2_correct_answers", "SELECT query_id, question, array_to_string(expected, '|') AS expected FROM results", uses="results")
+@query("F2_correct_answers", "SELECT query_id, question, coalesce(array_to_string(expected, '|'), '') AS expected FROM results", uses="results")
 def _(spark, d):
     return results(spark, d).select("query_id", "question", F.array_join("expected", "|").alias("expected"))
 

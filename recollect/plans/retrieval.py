@@ -380,7 +380,7 @@ def _(spark, d):
     return C.chunked(docs(spark, d), 50, 0)
 
 
-@query("C6_paragraphs", "SELECT doc_id, CAST(i - 1 AS INT) AS chunk, p[i] AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL))")
+@query("C6_paragraphs", "SELECT doc_id, CAST(i - 1 AS INT) AS chunk, p[i] AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^[\\s\\p{Z}\\x{0b}\\x{85}]+|[\\s\\p{Z}\\x{0b}\\x{85}]+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL))")
 def _(spark, d):
     return C.paragraphs(docs(spark, d))
 
