@@ -7,6 +7,7 @@ never crossed with each other and never shuffled for scoring.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,15 +33,10 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
     another length and, for the cosine, zero vectors are left out. With a threshold, k may be None: all pairs above it.
     """
     spark = corpus.sparkSession
-    out = None
-    block, blocks = [], []
-    for r in queries.where("v is not null").toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            blocks.append(block)
-            block = []
-    blocks = [b for b in [*blocks, block] if b] or [[]]
-    for b in blocks:
+    schema = "query_id long, vec_id long, score double"
+    out = spark.createDataFrame([], schema)
+    rows = queries.where("v is not null").toLocalIterator()
+    while b := [*islice(rows, BLOCK)]:
         ids = [r["query_id"] for r in b]
         q = np.array([r["v"] for r in b], float).reshape(len(b), -1)
         if metric == "cosine":
@@ -81,8 +77,8 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
             if best is not None:
                 yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
-        found = corpus.select(F.col("vec_id").cast("long"), "v").mapInArrow(score, "query_id long, vec_id long, score double")
-        out = found if out is None else out.union(found)
+        found = corpus.select(F.col("vec_id").cast("long"), "v").mapInArrow(score, schema)
+        out = out.union(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(w))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
