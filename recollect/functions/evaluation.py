@@ -21,10 +21,12 @@ def multi_hop_f1(output: Column, expected: Column) -> Column:
 
     def parts(c: Column) -> Column:
         p = F.filter(F.transform(F.split(c, ","), lambda s: F.trim(s)), lambda s: s != "")
-        return F.when(F.size(p) > 0, p).otherwise(F.array(c))
+        return F.transform(F.when(F.size(p) > 0, p).otherwise(F.array(c)), T.answer_tokens)
 
-    best = F.transform(parts(expected), lambda g: F.array_max(F.transform(parts(output), lambda p: token_f1(p, g))))
-    return F.aggregate(best, F.lit(0.0), lambda s, v: s + v) / F.size(best)
+    # parts are normalized before they are compared, and the sum and the number come from one pass over the best scores
+    best = F.transform(parts(expected), lambda g: F.array_max(F.transform(parts(output), lambda p: T.f1_of(p, g))))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(best, zero, lambda a, v: F.struct((a.s + v).alias("s"), (a.n + 1).alias("n")), lambda a: a.s / a.n)
 
 
 def says(output: Column, expected: Column) -> Column:

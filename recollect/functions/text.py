@@ -83,8 +83,7 @@ def multiset_overlap(a: Column, b: Column) -> Column:
 
 def f1_of(a: Column, b: Column) -> Column:
     """Harmonic mean of precision and recall of two token arrays as multisets; 0 without overlap."""
-    same = multiset_overlap(a, b)
-    return F.when(same > 0, 2.0 * same / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(2.0 * multiset_overlap(a, b), F.size(a) + F.size(b)), F.lit(0.0))
 
 
 def set_f1(a: Column, b: Column) -> Column:

@@ -12,21 +12,26 @@ from pyspark.sql import functions as F
 from recollect.functions import text as T
 
 
-def windows(tokens: Column, size: int, overlap: int) -> Column:
-    """array<array<string>>: windows of ``size`` tokens, each starting ``overlap`` before the end of the one before; the last ends with the text."""
+def starts(n: Column, size: int, overlap: int) -> Column:
+    """Numbers of the windows over n tokens, from 0; none without tokens."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be less than the size")
-    step = size - overlap
-    n = F.size(tokens)
-    count = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step))
-    cut = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.slice(tokens, i * step + 1, F.lit(size)))
-    return F.when(n > 0, cut).otherwise(F.array().cast("array<array<string>>"))
+    count = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / (size - overlap)))
+    return F.when(n > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def windows(tokens: Column, size: int, overlap: int) -> Column:
+    """array<array<string>>: windows of ``size`` tokens, each starting ``overlap`` before the end of the one before; the last ends with the text."""
+    return F.transform(starts(F.size(tokens), size, overlap), lambda i: F.slice(tokens, i * (size - overlap) + 1, F.lit(size)))
 
 
 def chunked(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     """doc_id, chunk, text, tokens of each document's windows of white-space tokens; blank and null texts have none."""
-    t = docs.select("doc_id", windows(T.tokens(F.col("text")), size, overlap).alias("w"))
-    return t.select("doc_id", F.posexplode("w").alias("chunk", "w")).select("doc_id", "chunk", F.array_join("w", " ").alias("text"), F.size("w").cast("long").alias("tokens"))
+    # the generator stands between the splitting of a text and its windows, so that a text is split once
+    t = docs.select("doc_id", T.tokens(F.col("text")).alias("t"))
+    t = t.select("doc_id", "t", F.explode(starts(F.size("t"), size, overlap)).alias("chunk"))
+    w = t.select("doc_id", "chunk", F.slice("t", F.col("chunk") * (size - overlap) + 1, F.lit(size)).alias("w"))
+    return w.select("doc_id", "chunk", F.array_join("w", " ").alias("text"), F.size("w").cast("long").alias("tokens"))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:

@@ -15,10 +15,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.runtime import materialize
+
 #: Most query vectors that are sent to the tasks at once.
 BLOCK = 4096
 
 
+def rounded(x: Column) -> Column:
+    """To nine digits, in floating point; ``round`` of a double goes through decimals, which is slow over many rows."""
+    return F.floor(x * 1e9 + 0.5).cast("double") / 1e9
+
+
 def lookup_vectors(vectors: DataFrame, condition: Column, most: int = 16) -> list[Column]:
     """A few vectors as literals, by id."""
     rows = vectors.where(condition).orderBy("vec_id").limit(most).collect()
@@ -85,10 +92,14 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
 
 
 def postings(docs: DataFrame, tokens: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """(term, doc_id, tf, dl) and the corpus' number of documents and mean length, over all documents."""
+    """(term, doc_id, tf, dl) and the corpus' number of documents and mean length, over all documents.
+
+    The index is written once, as statistics, frequencies and scores all read it; texts are read and split once.
+    """
     t = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", "t", F.size("t").alias("dl"))
-    p = t.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    return p, t.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    p = materialize(t.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
+    size = docs.agg(F.count("*").alias("N"))
+    return p, size.join(p.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))).select("N", F.coalesce(F.try_divide(F.col("words").cast("double"), F.col("N")), F.lit(0.0)).alias("avgdl"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, tokens: Callable[[Column], Column], k: int | None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, unique: bool = False) -> DataFrame:
@@ -105,7 +116,7 @@ def bm25(queries: DataFrame, docs: DataFrame, tokens: Callable[[Column], Column]
     q = q.join(idf, "term").join(F.broadcast(mean)).select("query_id", "term", "qtf", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    s = p.join(q, "term").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
+    s = p.join(q, "term").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(rounded(F.sum(part)).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     s = s.withColumn("rank", F.row_number().over(w))
     return (s if k is None else s.where(F.col("rank") <= k)).where("score > 0")

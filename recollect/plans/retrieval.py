@@ -10,7 +10,7 @@ from recollect.functions import vectors as V
 from recollect.operators import chunking as C
 from recollect.operators import retrieval as R
 from recollect.plans.registry import key_points, query, results, sessions, vectors
-from recollect.runtime import table
+from recollect.runtime import spread, table
 
 TOK = r"regexp_extract_all(lower({x}), '[a-z0-9]+|[\x{{4e00}}-\x{{9fff}}]')"
 ASKED = "asked AS (SELECT DISTINCT CAST(query_id[2:] AS BIGINT) AS query_id, question AS text FROM queries WHERE question IS NOT NULL AND CAST(query_id[2:] AS BIGINT) % 50 = 0)"
@@ -35,7 +35,7 @@ def asked(spark, d):
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _bm25(spark, d, k=5, **kw):
