@@ -19,6 +19,8 @@ from recollect.runtime import materialize
 
 #: Most query vectors that are sent to the tasks at once.
 BLOCK = 4096
+#: Most rows of query terms that are broadcast.
+MOST_TERMS = 1_000_000
 
 
 def rounded(x: Column) -> Column:
@@ -116,6 +118,9 @@ def bm25(queries: DataFrame, docs: DataFrame, tokens: Callable[[Column], Column]
     q = q.join(idf, "term").join(F.broadcast(mean)).select("query_id", "term", "qtf", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    q = materialize(q, "terms")
+    # the queries' terms are few beside the postings: sent to their tasks while under MOST_TERMS, else shuffled with them
+    q = F.broadcast(q) if q.count() <= MOST_TERMS else q
     s = p.join(q, "term").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(rounded(F.sum(part)).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     s = s.withColumn("rank", F.row_number().over(w))
