@@ -93,6 +93,15 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """src, dst, sim: every pair src < dst of ``vectors`` (vec_id, v) with a cosine of at least ``threshold``, once.
+
+    All vectors are the left side, read by blocks as in ``dense``.
+    """
+    pairs = dense(vectors.select(F.col("vec_id").alias("query_id"), "v"), vectors.select("vec_id", "v"), None, threshold=threshold)
+    return pairs.where("query_id < vec_id").select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), F.col("score").alias("sim"))
+
+
 def postings(docs: DataFrame, tokens: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     """(term, doc_id, tf, dl) and the corpus' number of documents and mean length, over all documents.
 

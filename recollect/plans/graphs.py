@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from recollect.operators import curation as C
 from recollect.operators import graph as G
+from recollect.operators import retrieval as R
 from recollect.plans.registry import nodes, query, vectors
 from recollect.plans.retrieval import NEAR, near
+from recollect.runtime import materialize
 
 E = "e AS (SELECT DISTINCT src, dst FROM (SELECT unnest(triggered_by) AS src, event_id AS dst FROM nodes) WHERE src IS NOT NULL AND src <> dst)"
 B = "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
@@ -77,10 +79,25 @@ def _(spark, d):
     return e.select("src", "dst", F.round(0.7 * F.col("sim") + 0.3 * (F.col("a") == F.col("b")).cast("int"), 6).alias("weight"))
 
 
+PAIRS = "pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, a.label = b.label AS same, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS sim FROM vecs a JOIN vecs b ON a.vec_id < b.vec_id)"
+
+
+@query("J7_similar_nodes_all", f"SELECT src, dst, round(sim, 6) AS sim FROM (WITH {PAIRS} SELECT * FROM pairs WHERE sim >= 0.4)", uses="vecs")
+def _(spark, d):
+    return R.similar_pairs(vectors(spark, d), 0.4).select("src", "dst", F.round("sim", 6).alias("sim"))
+
+
+@query("R18_graph_build_all", f"SELECT src, dst, round(0.7 * sim + 0.3 * same::INT, 6) AS weight FROM (WITH {PAIRS} SELECT * FROM pairs WHERE sim >= 0.4)", uses="vecs")
+def _(spark, d):
+    lab = vectors(spark, d).select("vec_id", "label")
+    e = R.similar_pairs(vectors(spark, d), 0.4).join(lab.select(F.col("vec_id").alias("src"), F.col("label").alias("a")), "src").join(lab.select(F.col("vec_id").alias("dst"), F.col("label").alias("b")), "dst")
+    return e.select("src", "dst", F.round(0.7 * F.col("sim") + 0.3 * (F.col("a") == F.col("b")).cast("int"), 6).alias("weight"))
+
+
 @query("R19_expansion")
 def _(spark, d):
-    e = similar(spark, d, 0.3).select("src", "dst", F.col("sim").alias("weight"))
-    e = e.union(e.select("dst", "src", "weight"))
+    e = R.similar_pairs(vectors(spark, d), 0.3).select("src", "dst", F.col("sim").alias("weight"))
+    e = materialize(e.union(e.select("dst", "src", "weight")), "graph")
     seeds = near(spark, d, 3).select("query_id", F.col("vec_id").alias("node"), "score").where("score > 0")
     concepts = vectors(spark, d).select(F.col("vec_id").alias("node"), F.array("label").alias("concepts"))
     return G.expanded(seeds, e, concepts, 2, 200)

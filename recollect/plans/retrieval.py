@@ -139,6 +139,13 @@ def _(spark, d):
     return n.groupBy("query_id").agg(F.max("score").alias("s")).select("query_id", F.when(F.col("s") >= 0.5, "append").otherwise("new").alias("action"))
 
 
+@query("R16_key_dedup_all", "SELECT b.vec_id AS query_id, CASE WHEN max(round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9)) >= 0.5 THEN 'append' ELSE 'new' END AS action FROM vecs b LEFT JOIN vecs a ON a.vec_id < b.vec_id GROUP BY 1", uses="vecs")
+def _(spark, d):
+    v = vectors(spark, d)
+    known = R.similar_pairs(v, 0.5).select(F.col("dst").alias("query_id")).distinct().withColumn("action", F.lit("append"))
+    return v.select(F.col("vec_id").alias("query_id")).distinct().join(known, "query_id", "left").select("query_id", F.coalesce("action", F.lit("new")).alias("action"))
+
+
 @query("R3_hybrid")
 def _(spark, d):
     sem = near(spark, d, 50).select("query_id", F.col("vec_id").alias("doc_id"), "score")
