@@ -18,16 +18,22 @@ def stream_of(spark: SparkSession, d: str, name: str, files: int = 1) -> DataFra
     return spark.readStream.schema(table(spark, d, name).schema).option("maxFilesPerTrigger", files).parquet(f"{d}/[{name[0]}]{name[1:]}.parquet")
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote. Files are written exactly once by batch."""
+def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote. Files are written exactly once by batch.
+
+    A batch of mode update holds only the keys that it changed, so each is kept and the newest row of each key returned;
+    the key is the first column, as in ``stateful``, unless ``keys`` names others.
+    """
     spark, path = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").outputMode(mode).trigger(availableNow=True).start()
     else:
-        latest = lambda df, epoch: df.write.mode("overwrite").parquet(path)
-        q = stream.writeStream.foreachBatch(latest).option("checkpointLocation", path + "-state").outputMode(mode).trigger(availableNow=True).start()
+        whole = lambda df, epoch: df.write.mode("overwrite").parquet(path)
+        keys = keys or stream.columns[:1]
+        write = idempotent_upsert(path, keys) if mode == "update" else whole
+        q = stream.writeStream.foreachBatch(write).option("checkpointLocation", path + "-state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return latest(spark, path, keys).select(*stream.columns) if mode == "update" else spark.read.schema(stream.schema).parquet(path)
 
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 from recollect.operators import retrieval as R
 from recollect.plans.catalog import QUERIES
+from recollect.streaming import streams as S
 
 
 def embeddings(spark, tmp_path, degrees):
@@ -33,3 +34,15 @@ def test_graph_has_edges_of_all_nodes(spark, tmp_path):
 def test_expansion_walks_edges_beside_the_query_set(spark, tmp_path):
     d = embeddings(spark, tmp_path, {0: 0, 1: 10, 2: 20, 3: 80, 4: 150})
     assert {r["node"] for r in QUERIES["R19_expansion"](spark, d).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_update_stream_keeps_keys_absent_from_the_last_batch(spark, tmp_path):
+    for part in ([(1, 1, False), (2, 2, False), (1, 3, False)], [(1, 4, False), (3, 5, True)], [(3, 6, False)]):
+        spark.createDataFrame(part, "persona_id long, session_id long, is_noise boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    got = S.drained(S.unit_builder(S.stream_of(spark, str(tmp_path), "t"), 2), "update")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3, 1, 1), (2, 1, 1, 0), (3, 1, 2, 0)]
+    events = [(u, k, 10.0) for k, u in enumerate((1, 2, 1, 3))]
+    for e in events:
+        spark.createDataFrame([e], "user_id long, event_id long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/e.parquet")
+    got = S.drained(S.value_keeper(S.stream_of(spark, str(tmp_path), "e")), "update")
+    assert {r["user_id"]: (round(r["q"], 6), r["visits"]) for r in got.collect()} == {1: (5.1, 2), 2: (3.0, 1), 3: (3.0, 1)}
