@@ -9,7 +9,8 @@ near-duplicates if they share at least ``threshold`` of the longer one's words.
    borrow from a bin chosen by a hash of bin and attempt alone, so two texts borrow alike (optimal densification).
 4. Bands are triples of bins that pairwise share at most one bin. Classes with an equal band share a bucket.
 5. A bucket of m classes gives m-1 candidate edges: a star around its least class, found by a map-side combined
-   aggregation. No bucket is gathered in a task, and none gives all its pairs.
+   aggregation. A class that turns out to be no near-duplicate of the centre is then compared with its whole bucket, so no
+   pair of a bucket is lost; lengths are compared first, and no bucket is gathered in a task.
 6. Edges are deduplicated and checked word by word, on 32-bit hashes (a pair's count is off by one with a chance of less
    than one in a million). Neighbours of a common class are then checked against each other until no
    new link turns up, which returns the pairs inside a group that the stars skip.
@@ -139,12 +140,19 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8) -> tuple[DataFra
     # one exchange of the bands serves the stars' centres and their rays
     bucket = classes.mapInArrow(banded, "tbl string, cls string, n int, bands array<long>").select("tbl", "cls", "n", F.explode("bands").alias("band")).repartition("tbl", "band")
     hubs = bucket.groupBy("tbl", "band").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).where("m > 1").select("tbl", "band", "hub")
-    edges = bucket.join(hubs, ["tbl", "band"]).where("cls <> hub").select("tbl", F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    edges = materialize(edges, "edges")
+    rays = materialize(bucket.join(hubs, ["tbl", "band"]).where("cls <> hub").select("tbl", "band", "hub", "cls", "n"), "rays")
+    edges = materialize(rays.select("tbl", F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "edges")
     ends = edges.select("tbl", F.col("a").alias("cls")).union(edges.select("tbl", F.col("b").alias("cls"))).distinct()
     whole, classes = classes, materialize(classes.join(ends, ["tbl", "cls"], "left_semi"), "classes")
     discard(whole)
     links = materialize(checked(edges, classes, threshold), "links")
+    # members of a bucket that all match its centre meet in the closure below; one that doesn't meets the whole bucket here
+    failed = rays.join(links.withColumnsRenamed({"a": "hub", "b": "cls"}), ["tbl", "hub", "cls"], "left_anti").select("tbl", "band", F.col("cls").alias("x"), F.col("n").alias("nx"))
+    rest = failed.join(rays.select("tbl", "band", F.col("cls").alias("y"), F.col("n").alias("ny")), ["tbl", "band"]).where((F.col("x") != F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")))
+    rest = rest.select("tbl", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(edges, ["tbl", "a", "b"], "left_anti")
+    links = links.union(materialize(checked(rest, classes, threshold), "links"))
+    discard(rays)
+    discard(edges)
     fresh = links
     while True:
         both = links.union(links.select("tbl", F.col("b").alias("a"), F.col("a").alias("b")))
