@@ -7,8 +7,9 @@
 3. A document is described by quantiles of its known words' grades; these are calibrated against the ratings, per script
    of the document, by a multinomial logistic regression.
 
-About ``MOST_RATED`` rated documents at most are used, chosen by a hash of their id; the grades' table and the
-features gathered on the driver are bounded by that. Every document is scored on its whole text. Documents with no known
+Words are counted over all rated documents, in Spark; their grades are sent as one number a word of ``SUPPORT`` documents, so
+they grow with the vocabulary. The regression alone is fitted on about ``MOST_RATED`` rated documents at most, chosen by a
+hash of their id. Every document is scored on its whole text. Documents with no known
 word get the most frequent rated level; without any usable rating there are no rows. Null texts and documents below the
 length: no row. Repeated documents give one row each time.
 """
@@ -94,8 +95,7 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_R
     src = docs.select("doc_id", "text").where("text is not null")
     kind = src.schema["doc_id"].dataType.simpleString()
     votes = clean_ratings(ratings)
-    chosen = sampled(votes, ["doc_id"], votes.agg(F.countDistinct("doc_id")).first()[0], most_rated)
-    rated = materialize(src.join(chosen.groupBy("doc_id").agg(F.collect_list(F.struct("level", "weight")).alias("votes")), "doc_id").dropDuplicates(["doc_id"]), "rated")
+    rated = materialize(src.join(votes.groupBy("doc_id").agg(F.collect_list(F.struct("level", "weight")).alias("votes")), "doc_id").dropDuplicates(["doc_id"]), "rated")
 
     def count(batches):
         for batch in batches:
@@ -123,13 +123,21 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_R
 
     table = rated.mapInArrow(count, "word string, l0 double, l1 double, l2 double, l3 double, docs double")
     table = table.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("l0", "l1", "l2", "l3", "docs"))).where(F.col("docs") >= SUPPORT)
-    found = {r["word"]: np.array([r["l0"], r["l1"], r["l2"], r["l3"]]) for r in table.collect()}  # words of SUPPORT or more of the chosen documents
-    total = [np.maximum(found.pop(k, np.zeros(4)), 1e-9) for k in ("\x00en", "\x00zh")]
-    grades = {}
-    for word, v in found.items():
-        share = v / total[int(is_han(word[0]))]
-        if share.sum() > 0:
-            grades[word] = float(share @ np.arange(4) / share.sum())
+    table = materialize(table, "words")
+    found = {r["word"]: np.array([r["l0"], r["l1"], r["l2"], r["l3"]]) for r in table.where(F.col("word").isin("\x00en", "\x00zh")).collect()}
+    total = [np.maximum(found.get(k, np.zeros(4)), 1e-9) for k in ("\x00en", "\x00zh")]
+
+    def grade(batches):
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            v = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:5]], axis=1)
+            share = v / np.array([total[int(is_han(w[0]))] for w in words]).reshape(-1, 4)
+            each = share.sum(axis=1)
+            ok = (each > 0) & np.array([w[0] != "\x00" for w in words], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array(share[ok] @ np.arange(4) / each[ok])], names=["word", "grade"])
+
+    graded = table.mapInArrow(grade, "word string, grade double").toArrow()  # the vocabulary
+    grades = dict(zip(graded["word"].to_pylist(), graded["grade"].to_pylist()))
     shared = spark.sparkContext.broadcast(grades)
 
     def describe(batches):
@@ -138,7 +146,8 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_R
                 x, n, zh, _ = features(texts, shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(2), pa.array([*x]), pa.array(n), pa.array(zh)], names=["votes", "x", "n", "zh"])
 
-    sample = rated.mapInArrow(describe, "votes array<struct<level:int,weight:double>>, x array<double>, n long, zh boolean").collect()  # about most_rated rows at most
+    fit = sampled(rated, ["doc_id"], rated.count(), most_rated)
+    sample = fit.mapInArrow(describe, "votes array<struct<level:int,weight:double>>, x array<double>, n long, zh boolean").collect()  # about most_rated rows at most
     prior = np.zeros(4)
     models = {}
     for zh in (False, True, None):
