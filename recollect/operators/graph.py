@@ -6,8 +6,6 @@ Iterations write each round to the shared folder, so that lineage stays short an
 from __future__ import annotations
 
 
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,48 +113,33 @@ def measures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return one.select("nodes", "edges", F.round(2.0 * F.col("edges") / F.col("nodes"), 6).alias("mean_degree"), F.round(density, 9).alias("density"), "self_loops", "components", "largest", F.round("clustering", 6).alias("clustering"))
 
 
-def expanded(starts: DataFrame, edges: DataFrame, concepts: DataFrame, hops: int, most: int) -> DataFrame:
+def expanded(starts: DataFrame, edges: DataFrame, concepts: DataFrame) -> DataFrame:
     """query_id, node, order: best-first expansion from each query's seeds; a node is expanded only if it brings new concepts.
 
-    ``starts``: query_id, node, score; ``edges``: src, dst, weight; ``concepts``: node, concepts. The neighbourhood of each
-    query is found by joins of ``hops`` rounds; the sequential part sees at most ``most`` of its nodes, nearest first.
+    ``starts``: query_id, node, score; ``edges``: src, dst, weight; ``concepts``: node, concepts. Steps cost more than nothing,
+    so nodes come up in the order of their least cost. A round expands, in every query at once, the first node after the last
+    expanded one that brings a new concept; there are at most as many rounds as a query meets concepts, and one.
     """
-    ball = starts.select("query_id", "node", F.col("score").alias("near"))
-    e = edges.select("src", "dst", "weight")
-    front = ball
-    for _ in range(hops):
-        front = front.join(e, front.node == e.src).groupBy("query_id", F.col("dst").alias("node")).agg(F.max(F.col("near") * F.col("weight")).alias("near"))
-        ball = ball.unionByName(front).groupBy("query_id", "node").agg(F.max("near").alias("near"))
-
-
-    ball = ball.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "node"))).where(F.col("n") <= most)
-    inside = ball.join(e, ball.node == e.src, "left").select("query_id", "node", "near", "dst", "weight")
-    g = inside.groupBy("query_id", "node").agg(F.max("near").alias("near"), F.collect_list(F.struct("dst", "weight")).alias("out")).join(concepts, "node", "left")
-    g = g.join(starts.select("query_id", "node", "score"), ["query_id", "node"], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        rows = {r.node: r for r in pdf.itertuples()}
-        heap = [(1 / max(r.score, 1e-10), r.node) for r in rows.values() if r.score == r.score and r.score is not None]
-        heapq.heapify(heap)
-        done, known, out = set(), set(), []
-        while heap:
-            cost, node = heapq.heappop(heap)
-            if node in done or node not in rows:
-                continue
-            done.add(node)
-            out.append(node)
-            own = set(rows[node].concepts) if rows[node].concepts is not None else set()
-            if own <= known and out[:-1]:
-                continue
-            known |= own
-            for x in rows[node].out:
-                if x["dst"] is not None and x["dst"] not in done:
-                    heapq.heappush(heap, (cost + 1 / max(x["weight"], 1e-10), x["dst"]))
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "node": out, "order": range(1, len(out) + 1)})
-
-    return g.groupBy("query_id").applyInPandas(run, "query_id long, node long, order int")
+    least = F.lit(1e-10)
+    known_of = concepts.select("node", F.coalesce("concepts", F.array().cast(concepts.schema["concepts"].dataType)).alias("concepts"))
+    none = F.array().cast(concepts.schema["concepts"].dataType)
+    e = edges.select("src", "dst", (1 / F.greatest(F.col("weight"), least)).alias("step"))
+    front = starts.where("score is not null").groupBy("query_id", "node").agg(F.min(1 / F.greatest(F.col("score"), least)).alias("cost"))
+    reach = materialize(front, "reach")
+    known = None
+    while True:
+        left = reach.join(known_of, "node", "left").withColumn("concepts", F.coalesce("concepts", none)).withColumn("at", F.struct("cost", "node"))
+        if known is not None:
+            left = left.join(known.select("query_id", F.col("at").alias("last"), "known"), "query_id").where((F.col("at") > F.col("last")) & (F.size(F.array_except("concepts", "known")) > 0))
+            left = left.withColumn("known", F.array_union("known", "concepts"))
+        else:
+            left = left.withColumn("known", F.col("concepts"))
+        known = materialize(left.groupBy("query_id").agg(F.min("at").alias("at"), F.min_by("known", "at").alias("known")), "known")
+        if known.isEmpty():
+            order = F.row_number().over(Window.partitionBy("query_id").orderBy("cost", "node"))
+            return reach.select("query_id", "node", order.alias("order"))
+        new = known.join(e, F.col("at.node") == e.src).select("query_id", F.col("dst").alias("node"), (F.col("at.cost") + F.col("step")).alias("cost"))
+        reach = materialize(reach.unionByName(new).groupBy("query_id", "node").agg(F.min("cost").alias("cost")), "reach")
 
 
 def recursive_clusters(vectors: DataFrame, most: int = 60, least: int = 10, branches: int = 4, depth: int = 4, seed: int = 42) -> DataFrame:

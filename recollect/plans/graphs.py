@@ -100,7 +100,7 @@ def _(spark, d):
     e = materialize(e.union(e.select("dst", "src", "weight")), "graph")
     seeds = near(spark, d, 3).select("query_id", F.col("vec_id").alias("node"), "score").where("score > 0")
     concepts = vectors(spark, d).select(F.col("vec_id").alias("node"), F.array("label").alias("concepts"))
-    return G.expanded(seeds, e, concepts, 2, 200)
+    return G.expanded(seeds, e, concepts)
 
 
 @query("R22_triplets", wrap(f"{E}, w AS (SELECT DISTINCT event_id, coalesce(time_span_days, 1) / 100.0 AS w FROM nodes), m AS (SELECT event_id, min(w) AS w FROM w GROUP BY 1)", "SELECT src, dst, round(coalesce(a.w, 1) + coalesce(b.w, 1) + 1, 6) AS distance FROM e LEFT JOIN m a ON a.event_id = src LEFT JOIN m b ON b.event_id = dst ORDER BY 3, 1, 2 LIMIT 20"), uses="nodes")

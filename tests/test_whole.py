@@ -1,8 +1,10 @@
 """Whole jobs: every pair, every node, every key, whatever the cut of a query set, a batch or a depth."""
 
+import heapq
 import math
 import random
 
+from recollect.operators import graph as G
 from recollect.operators import retrieval as R
 from recollect.plans.catalog import QUERIES
 from recollect.streaming import streams as S
@@ -46,3 +48,33 @@ def test_update_stream_keeps_keys_absent_from_the_last_batch(spark, tmp_path):
         spark.createDataFrame([e], "user_id long, event_id long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/e.parquet")
     got = S.drained(S.value_keeper(S.stream_of(spark, str(tmp_path), "e")), "update")
     assert {r["user_id"]: (round(r["q"], 6), r["visits"]) for r in got.collect()} == {1: (5.1, 2), 2: (3.0, 1), 3: (3.0, 1)}
+
+
+def test_expansion_equals_the_heap_beyond_200_nodes(spark):
+    rng = random.Random(2)
+    out = {k: {} for k in range(400)}
+    for a in range(400):
+        for b in {a + 1, a + 2} | ({rng.randrange(400) for _ in range(300)} if a == 9 else set()):
+            if b < 400 and b != a:
+                out[a][b] = out[b][a] = rng.uniform(0.3, 1)
+    concepts = {k: [k if k < 12 else rng.randrange(12)] for k in out}
+    seeds = [(1, 0, 0.9), (1, 5, 0.4), (2, 3, 0.7)]
+    want = {}
+    for q in (1, 2):
+        heap, done, known = [(1 / s, n) for i, n, s in seeds if i == q], [], set()
+        heapq.heapify(heap)
+        while heap:
+            cost, n = heapq.heappop(heap)
+            if n in done:
+                continue
+            done.append(n)
+            if len(done) == 1 or not {*concepts[n]} <= known:
+                known |= {*concepts[n]}
+                for m, w in out[n].items():
+                    heapq.heappush(heap, (cost + 1 / w, m))
+        want[q] = done
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = G.expanded(frame(seeds, "query_id long, node long, score double"), frame([(a, b, w) for a in out for b, w in out[a].items()], "src long, dst long, weight double"), frame([*concepts.items()], "node long, concepts array<int>"))
+    rows = sorted((r["query_id"], r["order"], r["node"]) for r in got.collect())
+    assert max(map(len, want.values())) > 200
+    assert {q: [n for i, _, n in rows if i == q] for q in want} == want
