@@ -5,6 +5,7 @@ Iterations write each round to the shared folder, so that lineage stays short an
 
 from __future__ import annotations
 
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,19 +143,20 @@ def expanded(starts: DataFrame, edges: DataFrame, concepts: DataFrame) -> DataFr
         reach = materialize(reach.unionByName(new).groupBy("query_id", "node").agg(F.min("cost").alias("cost")), "reach")
 
 
-def recursive_clusters(vectors: DataFrame, most: int = 60, least: int = 10, branches: int = 4, depth: int = 4, seed: int = 42) -> DataFrame:
+def recursive_clusters(vectors: DataFrame, most: int = 60, least: int = 10, branches: int = 4, seed: int = 42) -> DataFrame:
     """vec_id, cluster: k-means repeated within clusters of over ``most`` rows, all of a level in one pass.
 
     Each level seeds ``branches`` centres per large cluster by the order of a hash and takes three rounds of assignment and
     averaging as joins and aggregations, so the number of clusters doesn't matter to the plan. Clusters under ``least``
-    keep together with what they came from.
+    keep together with what they came from. Levels go on until no cluster is over ``most``; a part with over 95 % of what it
+    came from is cut by the order of ids instead, so that every level makes headway.
     """
 
 
     from recollect.functions.vectors import dot
 
     state = vectors.select("vec_id", "v", F.lit("0").alias("cluster"))
-    for level in range(depth):
+    for level in count():
         w = Window.partitionBy("cluster")
         state = materialize(state.withColumn("size", F.count("*").over(w)), "clusters")
         large = state.where(F.col("size") > most)
@@ -168,7 +170,10 @@ def recursive_clusters(vectors: DataFrame, most: int = 60, least: int = 10, bran
             sums = near.select("cluster", "c", F.posexplode("v").alias("i", "x")).groupBy("cluster", "c", "i").agg(F.avg("x").alias("x"))
             seeds = materialize(sums.groupBy("cluster", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("centre")), "centres")
         sized = near.withColumn("k", F.count("*").over(Window.partitionBy("cluster", "c")))
-        split = sized.select("vec_id", "v", F.concat_ws(".", "cluster", F.when(F.col("k") >= least, F.col("c").cast("string")).otherwise("r")).alias("cluster"))
+        sized = sized.withColumn("size", F.count("*").over(w)).withColumn("n", F.row_number().over(Window.partitionBy("cluster", "c").orderBy("vec_id")) - 1)
+        stuck = (F.col("k") > most) & (F.col("k") > 0.95 * F.col("size"))
+        piece = F.when(stuck, F.floor(F.col("n") * F.ceil(F.col("k") / most) / F.col("k")).cast("string"))  # null is left out of the name
+        split = sized.select("vec_id", "v", F.concat_ws(".", "cluster", F.when(F.col("k") >= least, F.col("c").cast("string")).otherwise("r"), piece).alias("cluster"))
         state = state.where(F.col("size") <= most).select("vec_id", "v", "cluster").unionByName(split)
     return state.select("vec_id", "cluster")
 

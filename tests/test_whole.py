@@ -78,3 +78,9 @@ def test_expansion_equals_the_heap_beyond_200_nodes(spark):
     rows = sorted((r["query_id"], r["order"], r["node"]) for r in got.collect())
     assert max(map(len, want.values())) > 200
     assert {q: [n for i, _, n in rows if i == q] for q in want} == want
+
+
+def test_no_cluster_stays_over_the_limit(spark):
+    same = [(k, [1.0, 1.0]) for k in range(45)]
+    c = [r["cluster"] for r in G.recursive_clusters(spark.createDataFrame(same, "vec_id long, v array<double>"), 10, 2).collect()]
+    assert len(c) == 45 and max(map(c.count, c)) <= 10
