@@ -5,15 +5,22 @@ near-duplicates if they share at least ``threshold`` of the longer one's words.
 
 1. Texts with the same multiset collapse into one class; everything below works on classes.
 2. A count sketch of fixed size (2^16 cells, gathered on the driver whatever the input) tells how common words are.
-3. One permutation throws the words of a class into ``BINS`` bins; a bin keeps its rarest word (ties by hash). Empty bins
-   borrow from a bin chosen by a hash of bin and attempt alone, so two texts borrow alike (optimal densification).
-4. Bands are triples of bins that pairwise share at most one bin. Classes with an equal band share a bucket.
+3. One permutation throws the words of a class into ``BINS`` bins; a bin keeps its rarest word (ties by the permutation),
+   where plain one-permutation hashing keeps the least: templates that thousands of texts share would fill the bands
+   otherwise. Empty bins borrow from a bin chosen by a hash of bin and attempt alone, so two texts borrow alike (optimal
+   densification). The sketch is that of the table at hand, so bands of one run aren't compared with those of another.
+4. Bands are groups of four bins that pairwise share at most one bin. Classes with an equal band share a bucket.
 5. A bucket of m classes gives m-1 candidate edges: a star around its least class, found by a map-side combined
-   aggregation. A class that turns out to be no near-duplicate of the centre is then compared with its whole bucket, so no
-   pair of a bucket is lost; lengths are compared first, and no bucket is gathered in a task.
+   aggregation; the join with its centre is left to AQE, which splits a hot bucket, so none is gathered in a task.
 6. Edges are deduplicated and checked word by word, on 32-bit hashes (a pair's count is off by one with a chance of less
-   than one in a million). Neighbours of a common class are then checked against each other until no
-   new link turns up, which returns the pairs inside a group that the stars skip.
+   than one in a million).
+7. Classes that turn out to be no near-duplicate of their centre: up to ``FAILING`` of them in a bucket are compared with the
+   whole bucket, lengths first. A bucket with more is split by one more bin, in every way, and its parts are starred in turn,
+   until few fail or no bin is left. So boilerplate that fills a band costs a multiple of its rows, not their square, and
+   a pair is lost only if it shares nothing but the band.
+8. For pairs, classes with a common neighbour are checked against each other until no new link turns up, which returns the
+   pairs inside a group that the stars skip. Two classes with the same neighbours need no such look, so a group of k that
+   all resemble each other costs about its k * k pairs. For groups, the stars are enough.
 
 Null, blank and wordless texts are no case. Rows that repeat a key count once; a key with several texts takes part with
 each. Ties, extra columns and empty tables need no special treatment.
@@ -30,10 +37,11 @@ from recollect.llm.words import U, Vocabulary, hashed, list_array, mix, offsets,
 from recollect.runtime import discard, materialize
 
 CELLS = 1 << 16
-BINS = 17
-#: Offsets whose differences modulo BINS are all distinct, so two bands of one family share at most one bin.
-FAMILIES = ((0, 1, 4),)
-NO_RANK = np.int64(1 << 62)
+BINS = 21
+#: Offsets whose differences modulo BINS are all distinct, so two bands share at most one bin.
+BAND = (0, 1, 4, 14)
+#: Most members of a bucket beside its centre's near-duplicates that are compared with the whole bucket.
+FAILING = 64
 
 
 def bags(batches):
@@ -66,15 +74,16 @@ def bags(batches):
             )
 
 
-def band_keys(tokens: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """One hash per band (columns) and text (rows; each has a word). ``common``: log2 of a word's count, by cell."""
+def sketch(tokens: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The bins (columns) of each text (rows; each has a word). ``common``: log2 of a word's count, by cell."""
     n = len(counts)
     cells, tokens = tokens.astype(np.int64) % CELLS, mix(tokens.astype(U))
     doc = np.repeat(np.arange(n), counts)
     slot = (mix(tokens ^ U(0xA24BAED4963EE407)) % U(BINS)).astype(np.int64)
     rank = (common[cells].astype(np.int64) << 56) | (mix(tokens) >> U(8)).astype(np.int64)
-    order = np.lexsort((rank, slot, doc))
-    cell = doc[order] * BINS + slot[order]
+    at = doc * BINS + slot
+    order = np.lexsort((rank, at))
+    cell = at[order]
     first = np.ones(len(cell), bool)
     first[1:] = cell[1:] != cell[:-1]
     value = np.zeros(n * BINS, U)
@@ -90,10 +99,18 @@ def band_keys(tokens: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.
         hit = full[rows, source]
         out[rows[hit], bins[hit]] = value[rows[hit], source[hit]] + U(attempt)
         rows, bins = rows[~hit], bins[~hit]
+    return out
+
+
+def band_keys(tokens: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """One hash per band (columns) and text (rows)."""
+    bins = sketch(tokens, counts, common)
     keys = []
-    for f, (a, b, c) in enumerate(FAMILIES):
-        for i in range(BINS):
-            keys.append(mix(mix(mix(out[:, (i + a) % BINS]) + out[:, (i + b) % BINS]) + out[:, (i + c) % BINS] + U(f * BINS + i)))
+    for i in range(BINS):
+        key = np.full(len(bins), U(i + 1))
+        for a in BAND:
+            key = mix(key + bins[:, (i + a) % BINS])
+        keys.append(key)
     return np.stack(keys, axis=1)
 
 
@@ -109,11 +126,22 @@ def checked(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     )
 
 
-def near_duplicates(records: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def star(bucket: DataFrame, name: str) -> DataFrame:
+    """tbl, band, hub, cls, ..: the members of each bucket of two or more beside its least class, the hub."""
+    hubs = bucket.groupBy("tbl", "band").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("tbl", "band", "hub")
+    return materialize(bucket.join(hubs, ["tbl", "band"]).where("cls <> hub"), name)
+
+
+def two_way(links: DataFrame) -> DataFrame:
+    return links.select("tbl", "a", "b").union(links.select("tbl", F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def near_duplicates(records: DataFrame, threshold: float = 0.8, closed: bool = True) -> tuple[DataFrame, DataFrame]:
     """``records`` (tbl, id, text; ids are strings) -> (members, links).
 
-    members: tbl, id, cls: one row per record and class. links: tbl, a, b: the near-duplicate classes, a < b. Classes are
-    named after their least id. Copies within a class are near-duplicates of each other without a link.
+    members: tbl, id, cls: one row per record and class. links: tbl, a, b: near-duplicate classes, a < b; all of them if
+    ``closed``, else those that the stars check, which connect the same groups. Classes are named after their least id.
+    Copies within a class are near-duplicates of each other without a link.
     """
     spark = records.sparkSession
     rows = materialize(records.select("tbl", "id", "text").mapInArrow(bags, "tbl string, id string, b1 long, b2 long, n int, tokens array<int>"), "bags")
@@ -126,43 +154,68 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8) -> tuple[DataFra
     common = np.zeros(CELLS, np.uint8)
     for cell, count in counts:
         common[cell] = min(63, int(count).bit_length())
-    sketch = spark.sparkContext.broadcast(common)
-
-    def banded(batches):
-        for batch in batches:
-            if batch.num_rows:
-                column = batch.column(3)
-                tokens = column.flatten().to_numpy().view(np.uint32)
-                n = np.diff(column.offsets.to_numpy()).astype(np.int64)
-                keys = band_keys(tokens, n, sketch.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), list_array(keys.reshape(-1).view(np.int64), np.full(len(n), keys.shape[1]))], names=["tbl", "cls", "n", "bands"])
-
-    # one exchange of the bands serves the stars' centres and their rays
-    bucket = classes.mapInArrow(banded, "tbl string, cls string, n int, bands array<long>").select("tbl", "cls", "n", F.explode("bands").alias("band")).repartition("tbl", "band")
-    hubs = bucket.groupBy("tbl", "band").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).where("m > 1").select("tbl", "band", "hub")
-    rays = materialize(bucket.join(hubs, ["tbl", "band"]).where("cls <> hub").select("tbl", "band", "hub", "cls", "n"), "rays")
-    edges = materialize(rays.select("tbl", F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "edges")
-    ends = edges.select("tbl", F.col("a").alias("cls")).union(edges.select("tbl", F.col("b").alias("cls"))).distinct()
-    whole, classes = classes, materialize(classes.join(ends, ["tbl", "cls"], "left_semi"), "classes")
-    discard(whole)
-    links = materialize(checked(edges, classes, threshold), "links")
-    # members of a bucket that all match its centre meet in the closure below; one that doesn't meets the whole bucket here
-    failed = rays.join(links.withColumnsRenamed({"a": "hub", "b": "cls"}), ["tbl", "hub", "cls"], "left_anti").select("tbl", "band", F.col("cls").alias("x"), F.col("n").alias("nx"))
-    rest = failed.join(rays.select("tbl", "band", F.col("cls").alias("y"), F.col("n").alias("ny")), ["tbl", "band"]).where((F.col("x") != F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")))
-    rest = rest.select("tbl", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(edges, ["tbl", "a", "b"], "left_anti")
-    links = links.union(materialize(checked(rest, classes, threshold), "links"))
-    discard(rays)
-    discard(edges)
-    fresh = links
+    shared = spark.sparkContext.broadcast(common)
+
+    def hashes(of):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    column = batch.column(3)
+                    tokens = column.flatten().to_numpy().view(np.uint32)
+                    n = np.diff(column.offsets.to_numpy()).astype(np.int64)
+                    keys = of(tokens, n, shared.value)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), list_array(keys.reshape(-1).view(np.int64), np.full(len(n), keys.shape[1]))], names=["tbl", "cls", "n", "keys"])
+
+        return run
+
+    keyed = lambda of, df: df.select("tbl", "cls", "n", "tokens").mapInArrow(hashes(of), "tbl string, cls string, n int, keys array<long>")
+    banded = materialize(keyed(band_keys, classes).select("tbl", "cls", "n", F.posexplode("keys").alias("last", "band")), "bands")
+    # last: the band's number at first, then BINS + the last bin that a bucket was split by
+    bucket, links, tested, left = banded.withColumn("of", F.col("last")), None, None, [classes, banded]
     while True:
-        both = links.union(links.select("tbl", F.col("b").alias("a"), F.col("a").alias("b")))
-        news = fresh.union(fresh.select("tbl", F.col("b").alias("a"), F.col("a").alias("b")))
+        rays = star(bucket, "rays")
+        edges = rays.select("tbl", F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+        edges = materialize(edges.join(tested, ["tbl", "a", "b"], "left_anti") if tested is not None else edges, "edges")
+        if tested is None:
+            ends = edges.select("tbl", F.col("a").alias("cls")).union(edges.select("tbl", F.col("b").alias("cls"))).distinct()
+            classes = materialize(classes.join(ends, ["tbl", "cls"], "left_semi"), "classes")
+            left.append(classes)
+        good = materialize(checked(edges, classes, threshold), "links")
+        tested, links = (edges, good) if tested is None else (tested.union(edges), links.union(good))
+        failed = rays.join(links.withColumnsRenamed({"a": "hub", "b": "cls"}), ["tbl", "hub", "cls"], "left_anti").select("tbl", "band", F.col("cls").alias("x"), F.col("n").alias("nx"))
+        failed = materialize(failed, "failed")
+        left += [rays, edges, failed]
+        many = materialize(failed.groupBy("tbl", "band").agg(F.count("*").alias("m")).where(F.col("m") > FAILING).select("tbl", "band"), "many")  # buckets to be split
+        split = rays.join(many, ["tbl", "band"], "left_semi").where(F.col("last") < 2 * BINS - 1)
+        more = materialize(split, "split") if not many.isEmpty() else None
+        few = failed if more is None else failed.join(more.select("tbl", "band").distinct(), ["tbl", "band"], "left_anti")
+        rest = few.join(rays.select("tbl", "band", F.col("cls").alias("y"), F.col("n").alias("ny")), ["tbl", "band"]).where((F.col("x") != F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")))
+        rest = materialize(rest.select("tbl", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["tbl", "a", "b"], "left_anti"), "edges")
+        links, tested = links.union(materialize(checked(rest, classes, threshold), "links")), tested.union(rest)
+        left += [many, rest]
+        if more is None or more.isEmpty():
+            break
+        bins = keyed(sketch, classes.join(more.select("tbl", "cls").distinct(), ["tbl", "cls"], "left_semi"))
+        inside = F.pmod(F.col("pos") - F.col("of"), F.lit(BINS)).isin(*BAND)
+        bucket = more.select("tbl", "band", "cls", "n", "last", "of").join(bins.select("tbl", "cls", F.posexplode("keys").alias("pos", "value")), ["tbl", "cls"])
+        bucket = bucket.where(~inside & (F.col("pos") + BINS > F.col("last"))).select("tbl", "cls", "n", (F.col("pos") + BINS).alias("last"), F.xxhash64("band", "pos", "value").alias("band"), "of")
+        left.append(more)
+    fresh = links
+    while closed:
+        both = two_way(links)
+        # a node's neighbours and itself as one number; where two linked nodes have the same, neither has a neighbour to show the other
+        sign = both.groupBy("tbl", "a").agg(F.sum(F.pmod(F.xxhash64("b"), F.lit(1 << 40))).alias("s")).select("tbl", "a", (F.col("s") + F.pmod(F.xxhash64("a"), F.lit(1 << 40))).alias("s"))
+        news = two_way(fresh).join(sign.withColumnRenamed("s", "sa"), ["tbl", "a"]).join(sign.select("tbl", F.col("a").alias("b"), F.col("s").alias("sb")), ["tbl", "b"]).where("sa <> sb")
         two = news.select("tbl", F.col("a").alias("mid"), F.col("b").alias("x")).join(both.select("tbl", F.col("a").alias("mid"), F.col("b").alias("y")), ["tbl", "mid"]).where("x <> y")
-        two = two.select("tbl", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(links, ["tbl", "a", "b"], "left_anti")
+        two = materialize(two.select("tbl", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["tbl", "a", "b"], "left_anti"), "edges")
+        left.append(two)
         fresh = materialize(checked(two, classes, threshold), "links")
         if fresh.isEmpty():
-            return members, links
-        links = links.union(fresh)
+            break
+        links, tested = links.union(fresh), tested.union(two)
+    for done in left:
+        discard(done)
+    return members, links
 
 
 def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -174,23 +227,29 @@ def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return across.where("x <> y").select("tbl", "x", "y").union(within).select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """tbl, id, class_id, group_id, n_links: one row per record. group_id is the least class reachable over links.
+def groups(members: DataFrame, links: DataFrame, counted: bool = True) -> DataFrame:
+    """tbl, id, class_id, group_id, copies (and, if ``counted``, n_links): one row per record. group_id is the least class reachable over links.
 
     Least-label propagation with pointer jumping; each round is written to the shared folder, and the rounds grow with
-    the logarithm of a group's diameter. Nothing is gathered on the driver but the number of changed labels.
+    the logarithm of a group's diameter. Nothing is gathered on the driver. ``n_links`` is a record's number of
+    near-duplicates and wants links that are closed; group and class need only those of the stars.
     """
-    both = links.union(links.select("tbl", F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialize(two_way(links).distinct(), "links")
     label = materialize(both.groupBy("tbl", F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(label, [both.tbl == label.tbl, both.b == label.cls]).groupBy(both.tbl, both.a).agg(F.min("label").alias("near"))
         best = label.join(near.select("tbl", F.col("a").alias("cls"), "near"), ["tbl", "cls"]).select("tbl", "cls", "label", F.least("label", "near").alias("new"))
         jump = label.select("tbl", F.col("cls").alias("new"), F.col("label").alias("far"))
         step = materialize(best.join(jump, ["tbl", "new"], "left").select("tbl", "cls", F.col("label").alias("old"), F.least("new", F.coalesce("far", "new")).alias("label")), "labels")
+        discard(label)
         label = step.select("tbl", "cls", "label")
         if step.where("old <> label").isEmpty():
             break
-    sizes = members.groupBy("tbl", "cls").agg((F.count("*") - 1).alias("copies"))
-    linked = both.join(sizes.select("tbl", F.col("cls").alias("b"), (F.col("copies") + 1).alias("m")), ["tbl", "b"]).groupBy("tbl", F.col("a").alias("cls")).agg(F.sum("m").alias("m"))
-    out = members.join(sizes, ["tbl", "cls"]).join(linked, ["tbl", "cls"], "left").join(label, ["tbl", "cls"], "left")
-    return out.select("tbl", "id", F.col("cls").alias("class_id"), F.coalesce("label", "cls").alias("group_id"), (F.col("copies") + F.coalesce("m", F.lit(0))).alias("n_links"))
+    sizes = members.groupBy("tbl", "cls").agg(F.count("*").alias("copies"))
+    out = members.join(sizes, ["tbl", "cls"]).join(label, ["tbl", "cls"], "left")
+    columns = ["tbl", "id", F.col("cls").alias("class_id"), F.coalesce("label", "cls").alias("group_id"), "copies"]
+    if counted:
+        linked = both.join(sizes.select("tbl", F.col("cls").alias("b"), F.col("copies").alias("m")), ["tbl", "b"]).groupBy("tbl", F.col("a").alias("cls")).agg(F.sum("m").alias("m"))
+        out = out.join(linked, ["tbl", "cls"], "left")
+        columns.append((F.col("copies") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    return out.select(*columns)

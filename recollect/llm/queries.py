@@ -29,7 +29,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.groups(*neardup.near_duplicates(records(spark, d)))
+    return neardup.groups(*neardup.near_duplicates(records(spark, d), closed=False), counted=False)
 
 
 def p2_tokens(spark: SparkSession, d: str) -> DataFrame:
