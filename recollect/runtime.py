@@ -17,6 +17,9 @@ _OWN_DIR: list[str] = []
 
 _SHIPPED: set[str] = set()
 
+#: Deletes the shuffle files of a SQL execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, unless PYTHONPATH gives it to them already."""
@@ -69,11 +72,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table into the shared folder and read it back.
 
-    Cuts lineage, survives the loss of executors and computes ``df`` once.
+    Cuts lineage, survives the loss of executors and computes ``df`` once. The shuffle files behind it, which nothing reads
+    once the table is there, are deleted with the end of the write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
