@@ -13,7 +13,7 @@ near-duplicates if they share at least ``threshold`` of the longer one's words.
 5. A bucket of m classes gives m-1 candidate edges: a star around its least class, found by a map-side combined
    aggregation; the join with its centre is left to AQE, which splits a hot bucket, so none is gathered in a task.
 6. Edges are deduplicated and checked word by word, on 32-bit hashes (a pair's count is off by one with a chance of less
-   than one in a million).
+   than one in a million). Within the search a class is a 64-bit hash of its words.
 7. Classes that turn out to be no near-duplicate of their centre: up to ``FAILING`` of them in a bucket are compared with the
    whole bucket, lengths first. A bucket with more is split by one more bin, in every way, and its parts are starred in turn,
    until few fail or no bin is left. So boilerplate that fills a band costs a multiple of its rows, not their square, and
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.words import U, Vocabulary, hashed, list_array, mix, offsets, slices
@@ -115,25 +115,26 @@ def band_keys(tokens: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.
 
 
 def checked(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (tbl, a, b) whose classes share enough words."""
-    side = lambda x: classes.select("tbl", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    """The pairs (a, b) of ``classes`` (c, n, tokens) that share enough words."""
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
     most = F.greatest("na", "nb")
-    return (
-        pairs.join(side("a"), ["tbl", "a"])
-        .join(side("b"), ["tbl", "b"])
-        .where((F.least("na", "nb") >= threshold * most) & (F.size(F.array_intersect("ta", "tb")) >= threshold * most))
-        .select("tbl", "a", "b")
-    )
+    enough = F.size(F.array_intersect("ta", "tb")) >= threshold * most
+    return pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("na", "nb") >= threshold * most) & enough).select("a", "b")
+
+
+def alike(x: str, y: str, threshold: float) -> Column:
+    """Whether two numbers of words allow a near-duplicate."""
+    return F.least(x, y) >= threshold * F.greatest(x, y)
 
 
 def star(bucket: DataFrame, name: str) -> DataFrame:
-    """tbl, band, hub, cls, ..: the members of each bucket of two or more beside its least class, the hub."""
-    hubs = bucket.groupBy("tbl", "band").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("tbl", "band", "hub")
-    return materialize(bucket.join(hubs, ["tbl", "band"]).where("cls <> hub"), name)
+    """band, hub, nh, c, n: the members of each bucket (band, c, n) of two or more beside its least class, the hub."""
+    hubs = bucket.groupBy("band").agg(F.min("c").alias("hub"), F.min_by("n", "c").alias("nh"), F.max("c").alias("top")).where("hub <> top").select("band", "hub", "nh")
+    return materialize(bucket.join(hubs, "band").where("c <> hub"), name)
 
 
 def two_way(links: DataFrame) -> DataFrame:
-    return links.select("tbl", "a", "b").union(links.select("tbl", F.col("b").alias("a"), F.col("a").alias("b")))
+    return links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def near_duplicates(records: DataFrame, threshold: float = 0.8, closed: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +148,8 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, closed: bool = T
     rows = materialize(records.select("tbl", "id", "text").mapInArrow(bags, "tbl string, id string, b1 long, b2 long, n int, tokens array<int>"), "bags")
     named = rows.groupBy("tbl", "b1", "b2").agg(F.min("id").alias("cls"))
     members = materialize(rows.select("tbl", "id", "b1", "b2").distinct().join(named, ["tbl", "b1", "b2"]).select("tbl", "id", "cls"), "members")
-    classes = rows.join(named.withColumnRenamed("cls", "id"), ["tbl", "b1", "b2", "id"]).select("tbl", F.col("id").alias("cls"), "n", "tokens").dropDuplicates(["tbl", "cls"])
+    # within the search a class is a hash of its table and words: eight bytes, instead of names in every row
+    classes = rows.join(named.withColumnRenamed("cls", "id"), ["tbl", "b1", "b2", "id"]).select(F.xxhash64("tbl", "b1", "b2").alias("c"), "tbl", F.col("id").alias("cls"), "n", "tokens").dropDuplicates(["c"])
     classes = materialize(classes, "classes")
     discard(rows)
     counts = classes.select(F.explode("tokens").alias("t")).groupBy(F.expr(f"t & {CELLS - 1}").alias("cell")).count().collect()  # at most CELLS rows
@@ -164,58 +166,68 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, closed: bool = T
                     tokens = column.flatten().to_numpy().view(np.uint32)
                     n = np.diff(column.offsets.to_numpy()).astype(np.int64)
                     keys = of(tokens, n, shared.value)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), list_array(keys.reshape(-1).view(np.int64), np.full(len(n), keys.shape[1]))], names=["tbl", "cls", "n", "keys"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], list_array(keys.reshape(-1).view(np.int64), np.full(len(n), keys.shape[1]))], names=["c", "tbl", "n", "keys"])
 
         return run
 
-    keyed = lambda of, df: df.select("tbl", "cls", "n", "tokens").mapInArrow(hashes(of), "tbl string, cls string, n int, keys array<long>")
-    banded = materialize(keyed(band_keys, classes).select("tbl", "cls", "n", F.posexplode("keys").alias("last", "band")), "bands")
-    # last: the band's number at first, then BINS + the last bin that a bucket was split by
-    bucket, links, tested, left = banded.withColumn("of", F.col("last")), None, None, [classes, banded]
+    keyed = lambda of, df: df.select("c", "tbl", "n", "tokens").mapInArrow(hashes(of), "c long, tbl string, n int, keys array<long>")
+    # a bucket's key ends in five bits for the band's number and five for the last bin that it was split by, from 1
+    key = lambda h, of, last: h.bitwiseAND(F.lit(-1024)).bitwiseOR((of * 32 + last).cast("long"))
+    banded = keyed(band_keys, classes).select("c", "n", F.xxhash64("tbl").alias("of_tbl"), F.posexplode("keys").alias("pos", "h"))
+    bucket = materialize(banded.select(key(F.col("h").bitwiseXOR(F.col("of_tbl")), F.col("pos"), F.lit(0)).alias("band"), "c", "n"), "bands")
+    links, tested, left = None, None, [classes]
     while True:
         rays = star(bucket, "rays")
-        edges = rays.select("tbl", F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-        edges = materialize(edges.join(tested, ["tbl", "a", "b"], "left_anti") if tested is not None else edges, "edges")
+        discard(bucket)
+        edges = rays.where(alike("n", "nh", threshold)).select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
+        edges = materialize(edges.join(tested, ["a", "b"], "left_anti") if tested is not None else edges, "edges")
         if tested is None:
-            ends = edges.select("tbl", F.col("a").alias("cls")).union(edges.select("tbl", F.col("b").alias("cls"))).distinct()
-            classes = materialize(classes.join(ends, ["tbl", "cls"], "left_semi"), "classes")
+            ends = rays.select("c").union(rays.select(F.col("hub").alias("c"))).distinct()
+            classes = materialize(classes.join(ends, "c", "left_semi"), "classes")
+            discard(left.pop())
             left.append(classes)
         good = materialize(checked(edges, classes, threshold), "links")
         tested, links = (edges, good) if tested is None else (tested.union(edges), links.union(good))
-        failed = rays.join(links.withColumnsRenamed({"a": "hub", "b": "cls"}), ["tbl", "hub", "cls"], "left_anti").select("tbl", "band", F.col("cls").alias("x"), F.col("n").alias("nx"))
+        failed = rays.join(links.withColumnsRenamed({"a": "hub", "b": "c"}), ["hub", "c"], "left_anti").select("band", F.col("c").alias("x"), F.col("n").alias("nx"))
         failed = materialize(failed, "failed")
-        left += [rays, edges, failed]
-        many = materialize(failed.groupBy("tbl", "band").agg(F.count("*").alias("m")).where(F.col("m") > FAILING).select("tbl", "band"), "many")  # buckets to be split
-        split = rays.join(many, ["tbl", "band"], "left_semi").where(F.col("last") < 2 * BINS - 1)
-        more = materialize(split, "split") if not many.isEmpty() else None
-        few = failed if more is None else failed.join(more.select("tbl", "band").distinct(), ["tbl", "band"], "left_anti")
-        rest = few.join(rays.select("tbl", "band", F.col("cls").alias("y"), F.col("n").alias("ny")), ["tbl", "band"]).where((F.col("x") != F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")))
-        rest = materialize(rest.select("tbl", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["tbl", "a", "b"], "left_anti"), "edges")
+        last = F.col("band").bitwiseAND(F.lit(31))
+        many = materialize(failed.where(last < BINS).groupBy("band").agg(F.count("*").alias("m")).where(F.col("m") > FAILING).select("band"), "many")  # buckets to be split
+        more = None if many.isEmpty() else many
+        few = failed if more is None else failed.join(more, "band", "left_anti")
+        rest = few.join(rays.select("band", F.col("c").alias("y"), F.col("n").alias("ny")), "band").where((F.col("x") != F.col("y")) & alike("nx", "ny", threshold))
+        rest = materialize(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "edges")
         links, tested = links.union(materialize(checked(rest, classes, threshold), "links")), tested.union(rest)
-        left += [many, rest]
-        if more is None or more.isEmpty():
+        left += [edges, rest]
+        if more is None:
+            discard(rays)
             break
-        bins = keyed(sketch, classes.join(more.select("tbl", "cls").distinct(), ["tbl", "cls"], "left_semi"))
-        inside = F.pmod(F.col("pos") - F.col("of"), F.lit(BINS)).isin(*BAND)
-        bucket = more.select("tbl", "band", "cls", "n", "last", "of").join(bins.select("tbl", "cls", F.posexplode("keys").alias("pos", "value")), ["tbl", "cls"])
-        bucket = bucket.where(~inside & (F.col("pos") + BINS > F.col("last"))).select("tbl", "cls", "n", (F.col("pos") + BINS).alias("last"), F.xxhash64("band", "pos", "value").alias("band"), "of")
-        left.append(more)
+        split = rays.join(more, "band", "left_semi").select("band", "c", "n")
+        bins = keyed(sketch, classes.join(split.select("c").distinct(), "c", "left_semi")).select("c", F.posexplode("keys").alias("pos", "value"))
+        of = F.shiftright("band", 5).bitwiseAND(F.lit(31))
+        inside = F.pmod(F.col("pos") - of, F.lit(BINS)).isin(*BAND)
+        bucket = split.join(bins, "c").where(~inside & (F.col("pos") >= last)).select(key(F.xxhash64("band", "pos", "value"), of, F.col("pos") + 1).alias("band"), "c", "n")
+        bucket = materialize(bucket, "bands")
+        discard(rays)
+        discard(failed)
     fresh = links
     while closed:
         both = two_way(links)
-        # a node's neighbours and itself as one number; where two linked nodes have the same, neither has a neighbour to show the other
-        sign = both.groupBy("tbl", "a").agg(F.sum(F.pmod(F.xxhash64("b"), F.lit(1 << 40))).alias("s")).select("tbl", "a", (F.col("s") + F.pmod(F.xxhash64("a"), F.lit(1 << 40))).alias("s"))
-        news = two_way(fresh).join(sign.withColumnRenamed("s", "sa"), ["tbl", "a"]).join(sign.select("tbl", F.col("a").alias("b"), F.col("s").alias("sb")), ["tbl", "b"]).where("sa <> sb")
-        two = news.select("tbl", F.col("a").alias("mid"), F.col("b").alias("x")).join(both.select("tbl", F.col("a").alias("mid"), F.col("b").alias("y")), ["tbl", "mid"]).where("x <> y")
-        two = materialize(two.select("tbl", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["tbl", "a", "b"], "left_anti"), "edges")
+        # a class's neighbours and itself as one number; of two linked classes with the same, neither has a neighbour to show the other
+        sign = both.groupBy("a").agg(F.sum(F.pmod(F.xxhash64("b"), F.lit(1 << 40))).alias("s")).select("a", (F.col("s") + F.pmod(F.xxhash64("a"), F.lit(1 << 40))).alias("s"))
+        news = two_way(fresh).join(sign.withColumnRenamed("s", "sa"), "a").join(sign.select(F.col("a").alias("b"), F.col("s").alias("sb")), "b").where("sa <> sb")
+        two = news.select(F.col("a").alias("mid"), F.col("b").alias("x")).join(both.select(F.col("a").alias("mid"), F.col("b").alias("y")), "mid").where("x <> y")
+        two = materialize(two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "edges")
         left.append(two)
         fresh = materialize(checked(two, classes, threshold), "links")
         if fresh.isEmpty():
             break
         links, tested = links.union(fresh), tested.union(two)
+    name = lambda x: classes.select(F.col("c").alias(x), "tbl", F.col("cls").alias(f"_{x}")) if x == "a" else classes.select(F.col("c").alias(x), F.col("cls").alias(f"_{x}"))
+    named = links.join(name("a"), "a").join(name("b"), "b").select("tbl", F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    named = materialize(named, "links")
     for done in left:
         discard(done)
-    return members, links
+    return members, named
 
 
 def pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -234,7 +246,7 @@ def groups(members: DataFrame, links: DataFrame, counted: bool = True) -> DataFr
     the logarithm of a group's diameter. Nothing is gathered on the driver. ``n_links`` is a record's number of
     near-duplicates and wants links that are closed; group and class need only those of the stars.
     """
-    both = materialize(two_way(links).distinct(), "links")
+    both = materialize(links.union(links.select("tbl", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = materialize(both.groupBy("tbl", F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(label, [both.tbl == label.tbl, both.b == label.cls]).groupBy(both.tbl, both.a).agg(F.min("label").alias("near"))
