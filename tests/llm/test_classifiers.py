@@ -56,15 +56,64 @@ def test_defect_kinds():
     cut = defects.shingles(asked)
     copy = lambda a: defects.is_copy(defects.words(a), defects.shingles(defects.words(a)), asked, cut)
     assert copy(q) and copy("You asked: " + q.lower()) and not copy(q + " Dr Reed recommended twenty milligrams of aspirin daily.") and not copy("Dr Reed recommended aspirin.")
-    r = defects.Refusals()
-    fits = lambda a: r.fits(defects.words(a))
+    fits = defects.is_refusal
     assert fits("Hello. I cannot answer questions about high blood pressure.") and fits("抱歉，我无法回答这个问题。") and fits("此事还是留给翟霖岑医生来说吧，我不便多言。")
     assert not fits("The patient declined to answer.") and not fits("Sorry for the late note: the dose was 5 mg of aspirin.") and not fits("患者拒绝注射该药。")
     for a in ("", "  ", "N/A", "<br/>", "待补充", "...", "[]"):
         assert defects.is_filler(a)
     assert not defects.is_filler("No") and not defects.is_filler("否")
-    assert defects.is_foreign("El médico aconsejó menos sal y más ejercicio.", q) and not defects.is_foreign("El médico aconsejó menos sal y más ejercicio.", q + " Answer in Spanish.")
-    assert not defects.is_foreign("40 mg", "他今天吃了什么药？") and defects.is_foreign("He took the tablets at noon with water.", "他今天吃了什么药？")
+    foreign = lambda a, question: defects.is_foreign(a, question, defects.own_language(question))
+    assert foreign("El médico aconsejó menos sal y más ejercicio.", q) and not foreign("El médico aconsejó menos sal y más ejercicio.", q + " Answer in Spanish.")
+    assert not foreign("40 mg", "他今天吃了什么药？") and foreign("He took the tablets at noon with water.", "他今天吃了什么药？")
+    for other in ("Она принимала таблетки утром после завтрака.", "그녀는 아침 식사 후에 약을 먹었습니다.", "彼女は朝食の後に薬を飲みました。", "Pani miała ból po każdej podróży.", "La dose est passée à 20 unités et elle va mieux.", "De pijn was na elke reis weer minder."):
+        assert foreign(other, q), other
+    assert not any(foreign(a, q) for a in ("Zupum care home", "Metformin and losartan", "about 11 weeks after exam week", "Mr Tougiox noted nosebleeds plus weight loss."))
+
+
+def test_refusals_in_wordings_of_no_list():
+    held_out = """I cannot share that information with you.
+    I'm afraid I cannot assist with this.
+    We are not permitted to talk about a patient's file.
+    That is not a subject I will go into.
+    My instructions forbid me to speak about this.
+    I have no authority to release such records.
+    Regrettably, this falls outside my remit.
+    I would rather not say.
+    抱歉,我不能透露这些内容。
+    对不起，这方面的内容我不方便透露。
+    不好意思，恕不能告知。
+    这类问题我无可奉告。"""
+    for a in held_out.splitlines():
+        assert defects.is_refusal(a.strip()), a
+        assert defects.is_refusal(a.strip() + " The clinic opens at nine on weekdays and the pharmacy next door sells aspirin." * 20), a
+    for a in ("She said she could not discuss it with her son.", "He refused to share the record with the clinic.", "The record doesn't mention it.", "I did not find it in the notes.", "她说不便透露。", "记录里没有提到。", "医生没有回答他的问题。"):
+        assert not defects.is_refusal(a), a
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+    return row[-1]
+
+
+def test_bit_parallel_lcs_equals_the_table():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        assert defects.common_prefixes(a, b) == [lcs(a[:k], b) for k in range(len(a) + 1)]
+
+
+def test_copies_with_a_word_changed_or_parts_reordered():
+    q = "Dr Reed recommended less salt against mild headaches, and the long flight to Denver made the patient tired. Which medicine did the nurse bring in the evening?"
+    asked = defects.words(q)
+    copy = lambda a: defects.is_copy(defects.words(a), defects.shingles(defects.words(a)), asked, defects.shingles(asked))
+    assert copy(q.replace("salt", "sugar")) and copy("Which medicine did the nurse bring in the evening? Dr Reed recommended less salt against mild headaches, and the long flight to Denver made the patient tired.")
+    assert not copy("The nurse brought aspirin in the evening.") and not copy("mild headaches, and the long flight")
+    short = defects.words("What is it?")
+    assert defects.is_copy(short, set(), short, set()) and not defects.is_copy(defects.words("It is"), set(), short, set())
 
 
 def test_defective_rows(spark):
