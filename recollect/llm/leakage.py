@@ -7,10 +7,11 @@
    sent to the tasks in blocks of at most ``MOST_SEEDS`` seeds (one block for thousands of items), so the broadcast is
    bounded and the documents' hashes never leave their task.
 4. Around the hits of a document and item, the diagonals are compared word by word; runs of equal words are chained over
-   small substitutions, insertions and losses and over at most one longer interruption. The pair is a case if the chain
-   covers at least ``share`` of the passage's words, and ``telling`` of them weighted by how few passages have a word, so
-   that a phrase common to many passages doesn't make a case. ``share`` is a little under a third, as edited words inside
-   a stretch don't count as covered.
+   small substitutions, insertions and losses and over at most one longer interruption, of any length. The pair is a case if
+   the chain covers at least ``share`` of the passage's words, and ``telling`` of them weighted by how few of all passages
+   have a word, so that a phrase common to many passages doesn't make a case. ``share`` is a little under a third, as
+   edited words inside a stretch don't count as covered. How many passages have a word is counted over the whole
+   held-out side, in Spark, so results don't depend on the blocks.
 
 Null, empty or wordless texts on either side: no case. Passages under five words: found only as whole seeds, so never.
 Repeated documents with one id give one row. An empty table on either side: no rows.
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.words import U, Vocabulary, hashed, mix, offsets, slices
+from recollect.runtime import materialize
 
 #: Five words each, at fixed places.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 4, 6))
 MOST_SEEDS = 4_000_000
 MOST_INSTRUCTED = 3
 FILTER_BITS = 22
-SMALL, LONG = 6, 160
+SMALL = 6
 
 
 def seeds(tokens: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
@@ -53,10 +55,31 @@ def passages(items: DataFrame, id_col: str = "item_id", text_col: str = "text")
     return t.select("item_id", F.when(F.col("h").isNull(), F.col("t")).otherwise(F.expr("substring(t, length(head) + 1)")).alias("passage"))
 
 
+def weighed(passage: DataFrame) -> DataFrame:
+    """Adds ``weights`` to (item_id, passage): for each word of the passage the logarithm of the share of all passages without it."""
+    passage = passage.withColumn("k", F.xxhash64("item_id", "passage"))
+
+    def split(batches):
+        vocabulary = Vocabulary()
+        for batch in batches:
+            for part, texts in slices(batch, "passage"):
+                tokens, counts = hashed(texts, vocabulary)
+                of = np.repeat(np.arange(len(counts)), counts)
+                at = np.arange(len(tokens)) - offsets(counts)[:-1][of]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(at), pa.array(tokens.view(np.int64))], names=["k", "at", "word"])
+
+    words = passage.select("k", "passage").mapInArrow(split, "k long, at long, word long")
+    items = passage.agg(F.count("*").alias("items"))
+    df = words.select("word", "k").distinct().groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(items))  # one row
+    weight = words.join(df.select("word", F.log((1 + F.col("items")) / F.col("df")).alias("weight")), "word")
+    lists = weight.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "weight"))), lambda x: x.weight).alias("weights"))  # as long as a passage
+    return passage.join(lists, "k").select("item_id", "passage", "weights")
+
+
 class Index:
     """The held-out side: words of all passages in one array, and their seeds in order of the hash."""
 
-    def __init__(self, ids: list, texts: list):
+    def __init__(self, ids: list, texts: list, weights: list):
         self.ids = ids
         self.words, counts = hashed(texts, Vocabulary())
         self.start = offsets(counts)
@@ -72,10 +95,7 @@ class Index:
         key, self.of, self.at = (np.concatenate(x) for x in (keys, of, at))
         order = np.argsort(key, kind="stable")
         self.key, self.of, self.at = key[order], self.of[order], self.at[order]
-        _, back = np.unique(self.words, return_inverse=True)
-        seen = np.unique(back.astype(np.int64) * max(1, len(ids)) + item) // max(1, len(ids))
-        #: How telling a word is: the logarithm of the share of passages without it.
-        self.weight = np.log((1 + len(ids)) / np.bincount(seen, minlength=1))[back] if len(back) else np.zeros(0)
+        self.weight = np.concatenate([np.zeros(0), *weights])
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.key >> U(64 - FILTER_BITS)).astype(np.int64)] = True
 
@@ -108,7 +128,7 @@ def covered(item: np.ndarray, weight: np.ndarray, doc: np.ndarray, diagonals: np
     """(words, weight) of the item in the chain of runs on the given diagonals that covers most words.
 
     A diagonal is the place in the document minus that in the item. Between runs, up to SMALL words of either side may
-    be changed, lost or put in; once, up to LONG words may be put in.
+    be changed, lost or put in; once, any number of words may be put in.
     """
     parts = []
     sums = np.concatenate(([0], np.cumsum(weight)))
@@ -125,7 +145,7 @@ def covered(item: np.ndarray, weight: np.ndarray, doc: np.ndarray, diagonals: np
         for m in range(k - 1, -1, -1):
             pi, pj, px, py = parts[m]
             gap_item, gap_doc = i - pj, x - py
-            if pj >= j or py >= y or not -SMALL <= gap_item <= SMALL or not -SMALL <= gap_doc <= LONG:
+            if pj >= j or py >= y or not -SMALL <= gap_item <= SMALL or gap_doc < -SMALL:
                 continue
             cut = max(0, pj - i, py - x)
             if cut >= j - i:
@@ -143,7 +163,7 @@ def covered(item: np.ndarray, weight: np.ndarray, doc: np.ndarray, diagonals: np
 def leaks(docs: DataFrame, items: DataFrame, share: float = 0.32, telling: float = 0.25, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, covered, passage_words, told): one row per document and held-out item whose passage it holds."""
     spark = docs.sparkSession
-    passage = passages(items)
+    passage = materialize(weighed(passages(items).distinct()), "passages")
     total = passage.select(F.sum(F.length("passage")).alias("n")).first()["n"] or 0
     if total * len(MASKS) > MOST_SEEDS:
         parts = int(total * len(MASKS) // MOST_SEEDS) + 1
@@ -155,7 +175,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.32, telling: float
     out = None
     for block in blocks:
         rows = block.collect()  # at most MOST_SEEDS / len(MASKS) code points of held-out text
-        index = spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["passage"] for r in rows]))
+        index = spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["passage"] for r in rows], [r["weights"] for r in rows]))
 
         def run(batches, index=index):
             vocabulary, ix = Vocabulary(), index.value
@@ -168,8 +188,9 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.32, telling: float
                     pair = d * len(ix.ids) + i
                     diagonal = (x - start[d]) - (p - ix.start[i])
                     near = np.unique(np.unique(pair * (1 << 24) + p) >> 24, return_counts=True)
-                    need = share * np.diff(ix.start)[near[0] % max(1, len(ix.ids))] / 4  # a chain that long has at least so many seeds' places
-                    pairs = near[0][near[1] >= np.maximum(2, need - 2)]
+                    third = share * np.diff(ix.start)[near[0] % max(1, len(ix.ids))]
+                    # a chain that long has at least so many seeds' places; one of up to six words may have a single one
+                    pairs = near[0][near[1] >= np.maximum(np.where(third > 6, 2, 1), third / 4 - 2)]
                     order = np.argsort(pair, kind="stable")
                     low, high = np.searchsorted(pair[order], pairs, "left"), np.searchsorted(pair[order], pairs, "right")
                     result = []

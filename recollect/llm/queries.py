@@ -40,11 +40,19 @@ def p2_holdout(spark: SparkSession, d: str) -> DataFrame:
     return totals.estimate(table(spark, d, "sessions"), table(spark, d, "personas"), f"{TOKENIZERS}/byte_bpe_50k.json")[1]
 
 
-def p3_scored(spark: SparkSession, d: str) -> DataFrame:
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
     kp = table(spark, d, "key_points").select(F.lit("key_points").alias("tbl"), F.col("kp_id").alias("rec_id"), F.lit(0).alias("turn"), "source", F.col("content").alias("text"))
     m = messages(spark, d).select(F.lit("sessions").alias("tbl"), F.col("session_id").cast("string").alias("rec_id"), "turn", "source", F.col("content").alias("text"))
-    both = kp.union(m).withColumn("source", truncation.source_key(F.col("source")))
-    return truncation.truncated(both, ["tbl", "rec_id", "turn"], "text", ["tbl", "source"])
+    return kp.union(m).withColumn("source", truncation.source_key(F.col("source")))
+
+
+def p3_scored(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(p3_texts(spark, d), ["tbl", "rec_id", "turn"], "text", ["tbl", "source"])
+
+
+def p3_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """Of artificial cuts that took no part in the fit, how many are found, per table and source."""
+    return truncation.holdout(p3_texts(spark, d), ["tbl", "rec_id", "turn"], "text", ["tbl", "source"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +99,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_ratings"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_tokens, p2_holdout, p3_found, p3_share, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p7_matches, p7_items, p8_found)}
+def p8_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """How the levels agree with ratings that took no part in the fit."""
+    return reading.agreement(table(spark, d, "documents"), table(spark, d, "level_ratings"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_tokens, p2_holdout, p3_found, p3_share, p3_holdout, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p7_matches, p7_items, p8_found, p8_holdout)}
 
 SQL = {
     "p5_found": """

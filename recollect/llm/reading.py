@@ -5,7 +5,9 @@
    whatever their number of texts. Words of Latin script count as such, Chinese ones as pairs of adjacent characters.
    Words of fewer than ``SUPPORT`` rated documents, digits and punctuation have no grade.
 3. A document is described by quantiles of its known words' grades; these are calibrated against the ratings, per script
-   of the document, by a multinomial logistic regression.
+   of the document, by a multinomial logistic regression. Grades are fitted crosswise for that: rated documents fall into
+   two halves by a hash, and those of one half are described by the grades that the other gives, so that no document is
+   calibrated on grades that it had a part in. ``agreement`` measures the whole on ratings that it never saw.
 
 Words are counted over all rated documents, in Spark; their grades are sent as one number a word of ``SUPPORT`` documents, so
 they grow with the vocabulary. The regression alone is fitted on about ``MOST_RATED`` rated documents at most, chosen by a
@@ -33,6 +35,8 @@ SUPPORT = 4
 QUANTILES = np.array((0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95))
 RUN = re.compile(rf"[{HAN}]+|[^\W\d_{HAN}]+")
 LEAST_FEATURES = 40
+#: Sums by level and number of documents, of the first half (a) and the second (b).
+COUNTS = [f"{h}{j}" for h in "ab" for j in range(5)]
 
 
 def units(text: str) -> tuple[list[str], int, int]:
@@ -53,10 +57,10 @@ def is_han(c: str) -> bool:
     return "一" <= c <= "鿿" or "㐀" <= c <= "䶿" or c == "〇" or "豈" <= c <= "﫿" or c >= "\U00020000"
 
 
-def features(texts: list, grades: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(features, number of known words, whether mostly Chinese, code points) of each text."""
+def features(texts: list, index: dict[str, int], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, number of known words, whether mostly Chinese, code points) of each text. ``grades``: by index of the word, NaN for none."""
     known, counts, chinese = [], [], []
-    get = grades.get
+    get = index.get
     for t in texts:
         words, han, other = units(t or "")
         own = [g for g in map(get, words) if g is not None]
@@ -64,8 +68,11 @@ def features(texts: list, grades: dict[str, float]) -> tuple[np.ndarray, np.ndar
         counts.append(len(own))
         chinese.append(han > other)
     n = np.array(counts, np.int64)
-    value = np.array(known, np.float64)
+    value = grades[np.array(known, np.int64)].astype(np.float64)
     doc = np.repeat(np.arange(len(n)), n)
+    ok = ~np.isnan(value)
+    value, doc = value[ok], doc[ok]
+    n = np.bincount(doc, minlength=len(n))
     order = np.lexsort((value, doc))
     value = np.concatenate((value[order], [0.0]))
     first = np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n
@@ -95,14 +102,16 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_R
     src = docs.select("doc_id", "text").where("text is not null")
     kind = src.schema["doc_id"].dataType.simpleString()
     votes = clean_ratings(ratings)
-    rated = materialize(src.join(votes.groupBy("doc_id").agg(F.collect_list(F.struct("level", "weight")).alias("votes")), "doc_id").dropDuplicates(["doc_id"]), "rated")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
+    rated = src.join(votes.groupBy("doc_id").agg(F.collect_list(F.struct("level", "weight")).alias("votes")), "doc_id").dropDuplicates(["doc_id"])
+    rated = materialize(rated.withColumn("half", half.cast("int")), "rated")
 
     def count(batches):
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 rows: dict[str, list[float]] = {}
-                totals = np.zeros((2, 4))
-                for t, votes in zip(texts, part.column(2).to_pylist()):
+                totals = np.zeros((2, 2, 4))
+                for t, votes, h in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
                     words, han, other = units(t)
                     size = max(1, len(words))
                     w = np.zeros(4)
@@ -112,39 +121,48 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_R
                     for x in words:
                         each[x] = each.get(x, 0) + 1
                     for x, k in each.items():
-                        row = rows.setdefault(x, [0.0] * 5)
+                        row = rows.setdefault(x, [0.0] * 10)
                         for j in range(4):
-                            row[j] += w[j] * k / size
-                        row[4] += 1
-                    totals[int(han > other)] += w
-                rows["\x00en"], rows["\x00zh"] = [*totals[0], SUPPORT], [*totals[1], SUPPORT]
+                            row[5 * h + j] += w[j] * k / size
+                        row[5 * h + 4] += 1
+                    totals[int(han > other), h] += w
+                for k, name in enumerate(("\x00en", "\x00zh")):
+                    rows[name] = [*totals[k, 0], SUPPORT, *totals[k, 1], SUPPORT]
                 v = np.array([*rows.values()])
-                yield pa.RecordBatch.from_arrays([pa.array([*rows]), *(pa.array(v[:, j]) for j in range(5))], names=["word", "l0", "l1", "l2", "l3", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([*rows]), *(pa.array(v[:, j]) for j in range(10))], names=["word", *COUNTS])
 
-    table = rated.mapInArrow(count, "word string, l0 double, l1 double, l2 double, l3 double, docs double")
-    table = table.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("l0", "l1", "l2", "l3", "docs"))).where(F.col("docs") >= SUPPORT)
+    table = rated.mapInArrow(count, "word string, " + ", ".join(f"{c} double" for c in COUNTS))
+    table = table.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)).where(F.col("a4") + F.col("b4") >= SUPPORT)
     table = materialize(table, "words")
-    found = {r["word"]: np.array([r["l0"], r["l1"], r["l2"], r["l3"]]) for r in table.where(F.col("word").isin("\x00en", "\x00zh")).collect()}
-    total = [np.maximum(found.get(k, np.zeros(4)), 1e-9) for k in ("\x00en", "\x00zh")]
+    totals = {r["word"]: np.array(r[1:], float) for r in table.where(F.col("word").isin("\x00en", "\x00zh")).collect()}
+    total = np.stack([np.maximum(totals.get(k, np.zeros(10)), 1e-9) for k in ("\x00en", "\x00zh")])
 
     def grade(batches):
         for batch in batches:
             words = batch.column(0).to_pylist()
-            v = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:5]], axis=1)
-            share = v / np.array([total[int(is_han(w[0]))] for w in words]).reshape(-1, 4)
-            each = share.sum(axis=1)
-            ok = (each > 0) & np.array([w[0] != "\x00" for w in words], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array(share[ok] @ np.arange(4) / each[ok])], names=["word", "grade"])
-
-    graded = table.mapInArrow(grade, "word string, grade double").toArrow()  # the vocabulary
-    grades = dict(zip(graded["word"].to_pylist(), graded["grade"].to_pylist()))
-    shared = spark.sparkContext.broadcast(grades)
+            v = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1).reshape(-1, 10)
+            of = total[[int(is_han(w[0])) for w in words]].reshape(-1, 10)
+            out = []
+            for c, least in ((v[:, :5] + v[:, 5:], SUPPORT), (v[:, :5], SUPPORT / 2), (v[:, 5:], SUPPORT / 2)):
+                t = of[:, :5] + of[:, 5:] if not out else of[:, :5] if len(out) == 1 else of[:, 5:]
+                share = c[:, :4] / t[:, :4]
+                each = share.sum(axis=1)
+                out.append(np.where((each > 0) & (c[:, 4] >= least), share @ np.arange(4) / np.maximum(each, 1e-300), np.nan).astype(np.float32))
+            keep = pa.array(np.array([w[0] != "\x00" for w in words], bool))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], names=["word", "whole", "first", "second"]).filter(keep)
+
+    graded = table.mapInArrow(grade, "word string, whole float, first float, second float").toArrow()  # the vocabulary
+    index = {w: i for i, w in enumerate(graded["word"].to_pylist())}
+    shared = spark.sparkContext.broadcast((index, [graded[c].to_numpy() for c in ("whole", "first", "second")]))
 
     def describe(batches):
+        index, (_, first, second) = shared.value
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                x, n, zh, _ = features(texts, shared.value)
-                yield pa.RecordBatch.from_arrays([part.column(2), pa.array([*x]), pa.array(n), pa.array(zh)], names=["votes", "x", "n", "zh"])
+                h = part.column(3).to_numpy()
+                a, b = features(texts, index, second), features(texts, index, first)  # each half by the other's grades
+                x, n, zh = (np.where((h == 0).reshape(-1, *[1] * (i.ndim - 1)), i, j) for i, j in zip(a[:3], b[:3]))
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.array([*x], pa.list_(pa.float64())), pa.array(n), pa.array(zh)], names=["votes", "x", "n", "zh"])
 
     fit = sampled(rated, ["doc_id"], rated.count(), most_rated)
     sample = fit.mapInArrow(describe, "votes array<struct<level:int,weight:double>>, x array<double>, n long, zh boolean").collect()  # about most_rated rows at most
@@ -167,11 +185,12 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_R
 
     def score(batches):
         by_script, usual = fitted.value
+        index, (whole, *_) = shared.value
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 if None not in by_script:
                     continue
-                x, n, zh, size = features(texts, shared.value)
+                x, n, zh, size = features(texts, index, whole)
                 level = np.full(len(texts), usual)
                 for script in (False, True):
                     pick = (zh == script) & (n > 0)
@@ -181,3 +200,13 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_R
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([LEVELS[k] for k in level], pa.string())], names=["doc_id", "level"]).filter(keep)
 
     return src.mapInArrow(score, f"doc_id {kind}, level string")
+
+
+def agreement(docs: DataFrame, ratings: DataFrame, most_rated: int = MOST_RATED) -> DataFrame:
+    """rated, documents, agreeing, share: how the levels agree with a fifth of the ratings, when all is fitted on the other documents' ratings."""
+    out = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0
+    levels = reading_levels(docs, ratings.where(~out), most_rated)
+    held = clean_ratings(ratings.where(out)).withColumn("rated", F.element_at(F.array(*map(F.lit, LEVELS)), F.col("level") + 1))
+    both = held.select("doc_id", "rated").join(levels.dropDuplicates(["doc_id"]), "doc_id")
+    s = both.groupBy("rated").agg(F.count("*").alias("documents"), F.count_if(F.col("rated") == F.col("level")).alias("agreeing"))
+    return s.withColumn("share", F.round(F.col("agreeing") / F.col("documents"), 6))

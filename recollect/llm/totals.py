@@ -45,19 +45,20 @@ def language_code(label: Column) -> Column:
 def measured(sessions: DataFrame) -> DataFrame:
     """One row per session row: its key, labels, text and measures."""
     text = F.array_join(F.transform(F.coalesce("messages", F.array().cast(sessions.schema["messages"].dataType)), lambda m: m.content), "\n")
-    s = sessions.select("session_id", "persona_id", "source", "lang", F.coalesce(F.size("messages"), F.lit(0)).alias("messages"), text.alias("text"))
+    between = F.greatest(F.size(F.filter(F.coalesce("messages", F.array().cast(sessions.schema["messages"].dataType)), lambda m: m.content.isNotNull())) - 1, F.lit(0))  # line breaks put between messages
+    s = sessions.select("session_id", "persona_id", "source", "lang", F.coalesce(F.size("messages"), F.lit(0)).alias("messages"), text.alias("text"), between.alias("_between"), F.col("messages").alias("_messages"))
     less = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
     return s.select(
         "*",
-        F.octet_length("text").alias("bytes"),
+        (F.octet_length("text") - F.col("_between")).alias("bytes"),
         F.regexp_count("text", F.lit(r"[A-Za-z]+")).alias("words"),
         less("[0-9]+").alias("digits"),
         less(r"[\p{P}\p{S}]+").alias("punctuation"),
         less(f"[{HAN}]+").alias("han"),
         less(rf"[\x00-\x7f\p{{P}}\p{{S}}{HAN}]+").alias("_kept"),
-        less(r"\s+").alias("spaces"),
+        (less(r"\s+") - F.col("_between")).alias("spaces"),
         F.length("text").alias("length"),
-    ).withColumn("other", F.col("length") - F.col("_kept")).drop("_kept")
+    ).withColumn("other", F.col("length") - F.col("_kept")).drop("_kept", "_between")
 
 
 def estimate(sessions: DataFrame, personas: DataFrame, tokenizer: str, most_encoded: int = MOST_ENCODED) -> tuple[DataFrame, DataFrame]:
@@ -72,12 +73,13 @@ def estimate(sessions: DataFrame, personas: DataFrame, tokenizer: str, most_enco
     detected = F.when(letters >= 20, F.when(F.col("han") * 2 > F.col("words"), "zh").otherwise(F.when(language_code(F.col("lang")) == "zh", "en").otherwise(F.coalesce(language_code(F.col("lang")), F.lit("en")))))
     m = m.withColumn("lang", F.coalesce(detected, language_code(F.col("lang")), F.lit("unknown")))
     light = ["persona_id", "source", "lang", *MEASURES]
-    one = m.groupBy("session_id").agg(F.max_by(F.struct(*light), F.struct("bytes", F.xxhash64(*light))).alias("s")).select("session_id", "s.*")
+    m = m.withColumn("copy", F.xxhash64(*light, "text"))  # of differing rows of a session the longest counts, for measures and tokens alike
+    one = m.groupBy("session_id").agg(F.max_by(F.struct(*light, "copy"), F.struct("bytes", "copy")).alias("s")).select("session_id", "s.*")
     one = materialize(one, "measured")
 
     parts = spark.sparkContext.broadcast(Bpe.parts(tokenizer))
-    chosen = sampled(one.select("session_id"), ["session_id"], one.count(), most_encoded)
-    contents = sessions.join(chosen, "session_id").dropDuplicates(["session_id"]).select("session_id", F.explode("messages").alias("m")).select("session_id", F.col("m.content").alias("text"))
+    chosen = sampled(one.select("session_id", "copy"), ["session_id"], one.count(), most_encoded)
+    contents = m.select("session_id", "copy", "_messages").join(chosen, ["session_id", "copy"]).dropDuplicates(["session_id"]).select("session_id", F.explode("_messages").alias("m")).select("session_id", F.col("m.content").alias("text"))
     kind = contents.schema["session_id"].dataType.simpleString()
 
     def count(batches):

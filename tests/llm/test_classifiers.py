@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from recollect.llm import defects
 from recollect.llm.reading import reading_levels
 from recollect.llm.totals import estimate
-from recollect.llm.truncation import limits, source_key, truncated
+from recollect.llm.truncation import holdout, limits, source_key, truncated
 
 NAMES = "Miller Jones Carter Reed Brook".split()
 
@@ -42,6 +42,28 @@ def test_truncation_edge_cases(spark):
     assert truncated(df.where("k < 0"), ["k"], "text", ["source"]).count() == 0
 
 
+def test_cuts_far_behind_the_beginning_are_learnt_and_held_out(spark):
+    """Texts whose ends differ from their beginnings, all longer than 2,000 characters."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        head = " ".join(sentence(rng) for _ in range(50))
+        tail = " ".join(f"Blorrent {rng.choice(['vatic', 'quoril', 'menth'])} strell ondor {rng.choice(['plim', 'gracht'])}." for _ in range(3))
+        t = head + " " + tail
+        rows.append((k, t[: -rng.randint(4, 60)].rstrip() + "x" if k % 20 == 0 else t, k % 20 == 0))
+    df = spark.createDataFrame(rows, "k long, text string, truth boolean")
+    out = {r["k"]: r["truncated"] for r in truncated(df, ["k"], "text", []).collect()}
+    assert sum(out[k] for k, _, y in rows if y) >= 13 and sum(out[k] for k, _, y in rows if not y) <= 5
+    r = holdout(df, ["k"], "text", []).collect()[0]
+    assert r["recall"] > 0.9 and r["cuts"] > 50
+
+
+def test_truncation_without_examples_rests_on_the_limit(spark):
+    rows = [(k, "abcdefghij klmno pqrst") for k in range(8)] + [(20, "Short.")]
+    out = {r["k"]: r["truncated"] for r in truncated(spark.createDataFrame(rows, "k long, text string").selectExpr("k", "'s' as source", "text"), ["k"], "text", ["source"]).collect()}
+    assert out == {**{k: True for k in range(8)}, 20: False}
+
+
 def test_limits_and_source_spelling(spark):
     rows = [("x", 100)] * 30 + [("x", n) for n in range(60, 100, 4)] + [("y", n) for n in range(60, 200)]
     out = limits(spark.createDataFrame(rows, "source string, len int"), ["source"]).collect()

@@ -45,3 +45,32 @@ def test_nulls_empty_and_repeated(spark):
     assert [(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()] == [(3, 1)]
     assert leaks(docs.where("doc_id < 0"), items).count() == 0
     assert leaks(docs, items.where("item_id < 0")).count() == 0
+
+
+def test_blocks_of_the_held_out_side_change_nothing(spark, monkeypatch):
+    """Passages that are half common phrases: which words are telling is counted over all of them, whatever the blocks."""
+    from recollect.llm import leakage
+
+    rng = random.Random(5)
+    common = prose(rng, 30, "c")
+    items = [(k, common + " " + prose(rng, 30)) for k in range(40)]
+    docs = [(k, prose(rng, 20, "z") + " " + (t if k % 2 else common)) for k, t in items]
+    found = []
+    for most in (leakage.MOST_SEEDS, 1500):
+        monkeypatch.setattr(leakage, "MOST_SEEDS", most)
+        found.append({(r["doc_id"], r["item_id"], round(r["told"], 9)) for r in leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()})
+    assert found[0] == found[1] and {(d, i) for d, i, _ in found[0]} == {(k, k) for k in range(1, 40, 2)}
+
+
+def test_a_third_of_a_short_passage(spark):
+    words = "the nurse brought aspirin tablets before lunch on friday but nobody had asked her to".split()
+    docs = [(1, "filler words here " + " ".join(words[2:7]) + " and other words")]
+    out = leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([(5, " ".join(words))], ITEM)).collect()
+    assert [(r["doc_id"], r["item_id"], r["covered"]) for r in out] == [(1, 5, 5)]
+
+
+def test_one_interruption_of_any_length(spark):
+    rng = random.Random(6)
+    words = prose(rng, 40).split()
+    docs = [(1, " ".join(words[:8]) + " " + prose(rng, 400, "z") + " " + " ".join(words[8:16]))]
+    assert leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([(5, " ".join(words))], ITEM)).count() == 1
