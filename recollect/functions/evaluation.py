@@ -72,3 +72,40 @@ def bleu(output: Column, expected: Column, order: int, epsilon: float = 0.1) ->
         logs = logs + F.log(F.when(same > 0, same.cast("double")).otherwise(epsilon) / total) / order
     brevity = F.when(F.size(output) > F.size(expected), 1.0).otherwise(F.exp(1 - F.size(expected) / F.greatest(F.size(output), F.lit(1))))
     return F.when((F.size(output) > 0) & (T.multiset_overlap(output, expected) > 0), brevity * F.exp(logs)).otherwise(0.0)
+
+
+def parts_of(c: Column) -> Column:
+    """The parts of a text at commas, without blanks; a text without parts is one."""
+    p = F.filter(F.transform(F.split(c, ","), lambda s: F.trim(s)), lambda s: s != "")
+    return F.when(F.size(p) > 0, p).otherwise(F.array(c))
+
+
+def category_f1(output: Column, expected: Column, multi_hop: Column, open_domain: Column) -> Column:
+    """F1 by category: several hops part by part, open questions against what stands before a semicolon; 0 without an expected answer.
+
+    A score under 0.5 is lifted to it where the answer says what is expected.
+    """
+    gold = F.when(open_domain, F.trim(F.split_part(expected, F.lit(";"), F.lit(1)))).otherwise(expected)
+    f = F.when(multi_hop, multi_hop_f1(output, gold)).otherwise(token_f1(output, gold))
+    return F.when(expected.isNull(), 0.0).when(f >= 0.5, f).when(says(output, gold), F.greatest(f, F.lit(0.5))).otherwise(f)
+
+
+def binary_verdict(output: Column, reply: Column) -> Column:
+    """struct<score, reason> of a judge's reply, which may have prose around its object; an empty output or an unreadable reply scores 0."""
+    found = F.regexp_extract(reply, r"\{[^{}]*\}", 0)
+    v = F.when(found != "", F.from_json(found, "is_correct boolean, reason string"))
+    empty = ~T.has_text(F.coalesce(output, F.lit("")))
+    score = F.when(~empty & F.coalesce(v.getField("is_correct"), F.lit(False)), 1.0).otherwise(0.0)
+    reason = F.when(empty, "Empty output").when(found == "", "Judge failed").otherwise(F.coalesce(v.getField("reason"), F.lit("")))
+    return F.struct(score.alias("score"), reason.alias("reason"))
+
+
+def preference_error(violates: Column, acknowledges: Column, hallucinates: Column, helpful: Column) -> Column:
+    """How an answer fails a stated preference, from four verdicts."""
+    return (
+        F.when(violates & ~acknowledges & helpful, "Preference-Unaware Violation")
+        .when(violates & acknowledges & hallucinates & helpful, "Preference Hallucination Violation")
+        .when(violates & acknowledges & ~hallucinates & helpful, "Inconsistency Violation")
+        .when(~violates & ~helpful, "Unhelpful Response")
+        .otherwise("Personalized Response")
+    )

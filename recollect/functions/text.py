@@ -167,3 +167,49 @@ def name_key(x: Column) -> Column:
 
 def estimated_tokens(x: Column, per: int = 4) -> Column:
     return F.floor(F.length(x) / per).cast("long")
+
+
+def date_range(phrase: Column, now: Column) -> Column:
+    """struct<from_ts, to_ts> of the first time phrase found, in this order of precedence; null without one.
+
+    today, yesterday, last N days, last week (7 days), this week (from Monday), last month (30 days), this month, last N weeks,
+    last N months (30 days each). All end with the last microsecond of today, yesterday with its own.
+    """
+    p, day = F.lower(phrase), F.date_trunc("day", now)
+    number = lambda unit: F.regexp_extract(p, rf"\blast\s+(\d+)\s+{unit}s?\b", 1).try_cast("int")
+    back = lambda n: day - F.make_dt_interval(n)
+    has = lambda words: p.rlike(rf"\b{words}\b")
+    start = (
+        F.when(has("today"), day).when(has("yesterday"), back(F.lit(1))).when(number("day").isNotNull(), back(number("day"))).when(has(r"last\s+week"), back(F.lit(7))).when(has(r"this\s+week"), F.date_trunc("week", now))
+        .when(has(r"last\s+month"), back(F.lit(30))).when(has(r"this\s+month"), F.date_trunc("month", now)).when(number("week").isNotNull(), back(7 * number("week"))).when(number("month").isNotNull(), back(30 * number("month")))
+    )
+    tick = F.expr("interval 1 microsecond")
+    end = F.when(has("yesterday") & ~has("today"), day - tick).when(start.isNotNull(), day + F.expr("interval 1 day") - tick)
+    return F.struct(start.alias("from_ts"), end.alias("to_ts"))
+
+
+def filled_template(templates: dict[str, str], key: Column, values: dict[str, Column], missing: str = "-") -> Column:
+    """The template of a key, or the one named default, with each {name} replaced, in the order of ``values``; null values by ``missing``."""
+    known = F.create_map(*(F.lit(x) for pair in templates.items() for x in pair))
+    out = F.coalesce(F.try_element_at(known, key), F.lit(templates["default"]))
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit(missing)))
+    return out
+
+
+def config_hash(values: dict[str, Column]) -> Column:
+    """The first 16 digits of the MD5 of a JSON object with sorted keys, a blank after colons and commas."""
+    shown = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1), F.lit(""))
+    parts = [F.concat(F.lit(f'"{k}": '), F.when(v.isNull(), "null").otherwise(shown(v))) for k, v in sorted(values.items())]
+    return F.left(F.md5(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))), F.lit(16))
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """Name-based UUID (version 5) of a namespace given as 32 hexadecimal digits."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def has_text(x: Column) -> Column:
+    """Whether a text has more than blanks of any kind."""
+    return x.rlike(r"[^\s\p{Z}]")

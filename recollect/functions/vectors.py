@@ -32,3 +32,19 @@ def unit(a: Column) -> Column:
 def padded(a: Column, size: int) -> Column:
     """Zeros appended up to the size."""
     return F.concat(doubles(a), F.array_repeat(F.lit(0.0), F.greatest(F.lit(size) - F.size(a), F.lit(0))))
+
+
+def edge_weight(similarity: Column, a: Column, b: Column) -> Column:
+    """0.7 * similarity + 0.3 * share of the smaller concept set that the other has; an empty set shares nothing."""
+    least = F.least(F.size(a), F.size(b))
+    return 0.7 * similarity + 0.3 * F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
+
+
+def letters(x: Column) -> Column:
+    """How often each of 26 Latin letters and of a few frequent Han characters stands in a text: a vector that needs no model."""
+    low = F.lower(x)
+    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+
+
+#: The characters that ``letters`` counts.
+LETTERS = "abcdefghijklmnopqrstuvwxyz的一不是了有在人药血天医"

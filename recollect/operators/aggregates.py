@@ -68,3 +68,35 @@ def bootstrap(df: DataFrame, value: str, resamples: int = 1000, seed: int = 7) -
     rows = df.select(F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns).alias("_row")).select("v", "_row", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b"))
     means = rows.select("_b", "v", weight.alias("w")).groupBy("_b").agg((F.sum(F.col("v") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
     return means.agg(_r(F.avg("m")).alias("mean"), _r(F.percentile("m", F.lit(0.025))).alias("low"), _r(F.percentile("m", F.lit(0.975))).alias("high"))
+
+
+def with_total(report, df: DataFrame, key: str, label: str = "overall") -> DataFrame:
+    """A report by key and, under ``label``, over all rows. ``report`` takes a frame and keys.
+
+    Each row goes to its group and to the total, as for a rollup; exact percentiles keep one counter per distinct value.
+    """
+    both = df.withColumn("_g", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(key, F.when(F.col("_g") == 1, label).otherwise(F.col(key)))
+    return report(both, "_g", key).drop("_g")
+
+
+def chain_rates(rows: DataFrame, key: str) -> DataFrame:
+    """Mean scores of reasoning chains (ncr, crc, cc), and over all their nodes the shares mentioned and causal; null without nodes."""
+    share = lambda c: _r(F.try_divide(F.sum(c).cast("double"), F.sum("nodes")))
+    return rows.groupBy(key).agg(
+        _r(F.avg("ncr")).alias("avg_ncr"), _r(F.avg("crc")).alias("avg_crc"), _r(F.avg("cc")).alias("avg_cc"), F.sum("nodes").alias("nodes"), share("mentioned").alias("node_mention_rate"), share("causal").alias("node_causal_rate")
+    )
+
+
+def build_summary(builds: DataFrame, unit: str) -> DataFrame:
+    """Memory builds (method, time_cost, passages, entries) by method and, as method all, together."""
+    g = builds.rollup("method").agg(
+        F.grouping("method").alias("g"), F.countDistinct(unit).alias("units"), F.count("*").alias("count"), _r(F.sum("time_cost")).alias("time_cost"), _r(F.sum("time_cost") / F.count("*")).alias("avg_time_per_session"),
+        F.sum("passages").alias("passages"), F.sum("entries").alias("entries"),
+    )
+    return g.withColumn("method", F.when(F.col("g") == 1, "all").otherwise(F.col("method"))).drop("g")
+
+
+def recordings(df: DataFrame, keys: list[str], ts: str, interval: str) -> DataFrame:
+    """How many intervals recorded each key, once each however often it came up in one, and when it was last seen."""
+    slots = df.groupBy(*keys, F.date_trunc(interval, ts).alias("_slot")).agg(F.max(ts).alias("last_seen"))
+    return slots.groupBy(*keys).agg(F.count("*").alias("recordings"), F.max("last_seen").alias("last_seen"))

@@ -148,3 +148,17 @@ def semantic_splitter(limit: int) -> Callable[[str], list[str]]:
         return out + (sentence_packer(limit)(text[at:]) if text[at:].strip() else [])
 
     return run
+
+
+def protected(text: Column) -> Column:
+    """struct<masked, urls>: each URL replaced by one control character, which no splitter cuts."""
+    return F.struct(F.regexp_replace(F.replace(text, F.lit(MASK), F.lit("")), URL, MASK).alias("masked"), F.regexp_extract_all(text, F.lit(URL), F.lit(0)).alias("urls"))
+
+
+def restored(masked: Column, urls: Column) -> Column:
+    """The text with its URLs back in their places, in order."""
+    pieces = F.split(masked, MASK)
+    return F.array_join(F.zip_with(pieces, urls, lambda p, u: F.concat(p, F.coalesce(u, F.lit("")))), "")
+
+
+URL, MASK = r"https?://\S+", "\x01"

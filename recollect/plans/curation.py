@@ -162,16 +162,6 @@ def _(spark, d):
     return key_points(spark, d).join(e, "session_id", "left").select("kp_id", F.coalesce("event", F.lit("")).alias("event"))
 
 
-@query("J5_evidence_offsets", """
-    SELECT DISTINCT q.query_id, t.session_id, t.upto FROM (SELECT DISTINCT query_id, unnest(source_key_points).session_id AS session_id FROM queries) q
-    JOIN (SELECT session_id, CAST(sum(length(coalesce(content, ''))) AS BIGINT) AS upto FROM turns GROUP BY 1) t USING (session_id)
-    """, uses="turns")
-def _(spark, d):
-    q = table(spark, d, "queries").select("query_id", F.explode("source_key_points.session_id").alias("session_id")).distinct()
-    t = turns(spark, d).groupBy("session_id").agg(F.sum(F.length(F.coalesce("content", F.lit("")))).alias("upto"))
-    return q.join(t, "session_id").select("query_id", "session_id", "upto")
-
-
 @query("J12_trigger_sources", f"SELECT e.src, e.dst, s.event AS source_event FROM (WITH {EDGES} SELECT * FROM edges) e JOIN (SELECT event_id, min(event) AS event FROM nodes GROUP BY 1) s ON s.event_id = e.src", uses="nodes")
 def _(spark, d):
     n = nodes(spark, d)

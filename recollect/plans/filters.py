@@ -108,14 +108,6 @@ def _(spark, d):
     return a.union(b).groupBy("event_id").agg(F.max_by("src", "p").alias("src"))
 
 
-@query("U4_letter_sets", "SELECT query_id, question, list_sort(list_distinct(string_split(coalesce(model_output, ''), ''))) = list_sort(list_distinct(string_split(coalesce(expected[1], ''), ''))) AS same FROM results WHERE coalesce(model_output, '') <> '' AND coalesce(expected[1], '') <> '' AND regexp_matches(model_output || expected[1], '^[ -~]*$')", uses="results")
-def _(spark, d):
-    e = F.get("expected", 0)
-    chars = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != "")))
-    r = results(spark, d).where((F.col("model_output") != "") & (e != "") & F.concat("model_output", e).rlike("^[ -~]*$"))
-    return r.select("query_id", "question", (chars(F.col("model_output")) == chars(e)).alias("same"))
-
-
 @query("U6_subsets", "SELECT query_id, len(a) > 0 AND len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 AS subset FROM (SELECT DISTINCT query_id, list_transform(coalesce(source_key_points, []), lambda k: k.session_id) AS a, list_transform(coalesce(metadata.reasoning_chain, []), lambda n: n.session_id) AS b FROM queries)")
 def _(spark, d):
     ids = lambda c: F.coalesce(F.transform(c, lambda k: k["session_id"]), F.array().cast("array<bigint>"))

@@ -156,23 +156,6 @@ def _(spark, d):
     return t.select("query_id", "question", F.round(F.when(F.col("f") >= 0.5, F.col("f")).when(E.says(F.col("o"), F.col("e")), F.greatest("f", F.lit(0.5))).otherwise(F.col("f")), 6).alias("f1"))
 
 
-@query(
-    "X12_f1_by_category",
-    f"""
-    SELECT query_id, query_type, question, round({f1('a', 'b')}, 6) AS f1, {f1('a', 'b')} >= 0.5 AS is_correct FROM (
-        SELECT query_id, query_type, question, {toks('model_output')} AS a, {toks("CASE WHEN query_type = 'inference_generation' THEN trim(string_split(expected[1], ';')[1]) ELSE expected[1] END")} AS b
-        FROM results WHERE model_output IS NOT NULL AND expected[1] IS NOT NULL)
-    """,
-    uses="results",
-)
-def _(spark, d):
-    e = F.get("expected", 0)
-    r = results(spark, d).where(F.col("model_output").isNotNull() & e.isNotNull())
-    gold = F.when(F.col("query_type") == "inference_generation", F.trim(F.split_part(e, F.lit(";"), F.lit(1)))).otherwise(e)
-    r = r.select("query_id", "query_type", "question", T.answer_tokens(F.col("model_output")).alias("a"), T.answer_tokens(gold).alias("b")).withColumn("f", T.f1_of(F.col("a"), F.col("b")))
-    return r.select("query_id", "query_type", "question", F.round("f", 6).alias("f1"), (F.col("f") >= 0.5).alias("is_correct"))
-
-
 NEG = " OR ".join(f"contains(lower(model_output), '{q(p)}')" for p in T.NEGATIVE_PHRASES)
 
 
@@ -289,17 +272,6 @@ def _(spark, d):
     return t.select("query_id", F.round(E.chain_score(*map(F.col, ("n", "c", "k", "informed", "difficulty"))), 6).alias("score"))
 
 
-@query(
-    "X24_binary_judge",
-    """
-    SELECT event_id, CAST(CASE WHEN event_type = 'error' THEN 0.0 ELSE CASE WHEN try_cast(props->>'k' AS BIGINT) % 2 = 1 THEN 1.0 ELSE 0.0 END END AS DOUBLE) AS score FROM events
-    """,
-)
-def _(spark, d):
-    judged = F.from_json("props", "k long").getField("k")
-    return table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", 0.0).otherwise(F.coalesce(F.when(judged % 2 == 1, 1.0), F.lit(0.0))).alias("score"))
-
-
 @query("X25_balanced_json")
 def _(spark, d):
     e = table(spark, d, "events").where("props is not null")
@@ -375,20 +347,6 @@ def _(spark, d):
     return n.select("event_id", F.when(F.col("days").isNull() | (F.col("days") < 0) | (F.coalesce(span, F.lit(0)) < PHASES), 1).otherwise(F.least(F.floor(phase).cast("int") + 1, F.lit(PHASES))).alias("phase"))
 
 
-@query(
-    "X31_temporal_phrase",
-    """
-    SELECT event_id, CASE WHEN event_type = 'click' THEN date_trunc('day', ts) WHEN event_type = 'view' THEN date_trunc('day', ts) - INTERVAL 1 DAY WHEN event_type = 'purchase' THEN date_trunc('week', ts) ELSE date_trunc('month', ts) END AS from_ts FROM events
-    """,
-)
-def _(spark, d):
-    # the phrase that stands for each type: today, yesterday, this week, this month
-    phrase = F.when(F.col("event_type") == "click", "today").when(F.col("event_type") == "view", "yesterday").when(F.col("event_type") == "purchase", "this week").otherwise("this month")
-    ts = F.col("ts")
-    start = F.when(phrase == "today", F.date_trunc("day", ts)).when(phrase == "yesterday", F.date_trunc("day", ts) - F.expr("interval 1 day")).when(phrase == "this week", F.date_trunc("week", ts)).otherwise(F.date_trunc("month", ts))
-    return table(spark, d, "events").select("event_id", start.alias("from_ts"))
-
-
 @query("X32_timestamp_render", "SELECT session_id, strftime(try_cast(created_at[1:10] AS DATE), '%Y/%m/%d (%a) 00:00') AS stamp FROM sess WHERE regexp_matches(created_at, '^\\d{4}-\\d{2}-\\d{2}')", uses="sess")
 def _(spark, d):
     day = F.try_to_date(F.left("created_at", F.lit(10)), "yyyy-MM-dd")
@@ -402,11 +360,6 @@ def _(spark, d):
     return g.select("session_id", F.array_join(F.transform("t", lambda x: x.line), "\n").alias("memory"))
 
 
-@query("X34_prompt", "SELECT query_id, question, 'Question: ' || coalesce(question, '-') || chr(10) || 'Type: ' || query_type AS prompt FROM results", uses="results")
-def _(spark, d):
-    return results(spark, d).select("query_id", "question", F.format_string("Question: %s\nType: %s", F.coalesce("question", F.lit("-")), F.col("query_type")).alias("prompt"))
-
-
 @query("X35_marker_query", r"SELECT query_id, question, regexp_extract(question, '(?s)[.。;；!！]\s*([^.。;；!！]*[?？])\s*$', 1) AS asked FROM results WHERE question IS NOT NULL", uses="results")
 def _(spark, d):
     return results(spark, d).where("question is not null").select("query_id", "question", F.regexp_extract("question", r"(?s)[.。;；!！]\s*([^.。;；!！]*[?？])\s*$", 1).alias("asked"))
@@ -417,11 +370,6 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
-@query("X37_hashes", "SELECT doc_id, md5(text) AS content_hash, md5(source || ':' || doc_id)[1:16] AS config_hash FROM documents")
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5("text").alias("content_hash"), F.left(F.md5(F.concat("source", F.lit(":"), F.col("doc_id").cast("string"))), F.lit(16)).alias("config_hash"))
-
-
 @query("X38_name_key", f"SELECT DISTINCT name, lower(regexp_replace(trim(regexp_replace(name, '{re2(T.ASCII_PUNCTUATION)}', '', 'g')), '\\s+', '_', 'g')) AS key FROM kps", uses="kps")
 def _(spark, d):
     return table(spark, d, "key_points").select("name").distinct().select("name", T.name_key(F.col("name")).alias("key"))
@@ -433,11 +381,6 @@ def _(spark, d):
     return g.select("user_id", "event_type", F.round(0.9 * F.col("s") + 0.05 * F.least(F.col("k") * 0.05, F.lit(5)) + 0.05 * F.least(F.col("r") * 0.05, F.lit(2)), 6).alias("importance"))
 
 
-@query("X41_edge_weight", "SELECT vec_id, round(CASE WHEN label IS NULL THEN 0 ELSE 0.7 * abs(v[1]) + 0.3 * (label % 4) / 4.0 END, 6) AS weight FROM vecs", uses="vecs")
-def _(spark, d):
-    return vectors(spark, d).select("vec_id", F.round(0.7 * F.abs(F.get("v", 0)) + 0.3 * (F.col("label") % 4) / 4.0, 6).alias("weight"))
-
-
 @query("X42_option_decode", "SELECT query_id, question, CASE WHEN length(trim(model_output)) = 1 THEN upper(trim(model_output)) WHEN length(trim(model_output)) = 3 THEN upper(trim(model_output)[2:2]) ELSE model_output END AS option FROM results WHERE model_output IS NOT NULL", uses="results")
 def _(spark, d):
     o = F.trim("model_output")
@@ -449,12 +392,6 @@ def _(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.estimated_tokens(F.col("text")).alias("by_four"), T.estimated_tokens(F.col("text"), 3).alias("by_three"))
 
 
-@query("X44_url_protect", r"SELECT doc_id, len(regexp_extract_all(text, 'https?://\S+')) AS urls, regexp_replace(text, 'https?://\S+', '\x{1}URL\x{1}', 'g') AS protected FROM documents WHERE text IS NOT NULL AND contains(text, '://')")
-def _(spark, d):
-    t = table(spark, d, "documents").where(F.contains("text", F.lit("://")))
-    return t.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"https?://\S+"), F.lit(0))).cast("long").alias("urls"), F.regexp_replace("text", r"https?://\S+", "\x01URL\x01").alias("protected"))
-
-
 @query("U5_multiset_overlap", f"SELECT query_id, question, CAST({overlap('a', 'b')} AS BIGINT) AS same FROM (WITH {TOKENED} SELECT * FROM tokened)", uses="results")
 def _(spark, d):
     return tokened(spark, d).select("query_id", "question", T.multiset_overlap(F.col("a"), F.col("b")).cast("long").alias("same"))

@@ -23,22 +23,6 @@ def _(spark, d):
     return A.with_overall(results(spark, d), "query_type")
 
 
-@query(
-    "A3_chain_rates",
-    """
-    SELECT lower(trim(query_type)) AS query_type, count(*) AS nodes, round(avg((n.session_id IS NOT NULL)::INT), 6) AS node_mention_rate,
-        round(avg((n.role = 'intermediate')::INT), 6) AS node_causal_rate
-    FROM (SELECT DISTINCT query_id, query_type, unnest(metadata.reasoning_chain) AS n FROM queries) WHERE n IS NOT NULL GROUP BY 1
-    """,
-)
-def _(spark, d):
-    n = table(spark, d, "queries").select("query_id", "query_type", F.explode("metadata.reasoning_chain").alias("n")).distinct().where("n is not null")
-    rate = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return n.groupBy(F.lower(F.trim("query_type")).alias("query_type")).agg(
-        F.count("*").alias("nodes"), rate(F.col("n.session_id").isNotNull()).alias("node_mention_rate"), rate(F.col("n.role") == "intermediate").alias("node_causal_rate")
-    )
-
-
 @query("A4_efficiency", "SELECT round(sum(query_time), 6) AS total_query_time, round(avg(query_time), 6) AS avg_query_time, CAST(sum(retrieved_count) AS BIGINT) AS retrieved FROM results", uses="results")
 def _(spark, d):
     return results(spark, d).agg(F.round(F.sum("query_time"), 6).alias("total_query_time"), F.round(F.avg("query_time"), 6).alias("avg_query_time"), F.sum("retrieved_count").alias("retrieved"))
@@ -54,28 +38,6 @@ def _(spark, d):
     return results(spark, d).agg(F.count("*").alias("total"), F.round(F.avg("query_time"), 6).alias("avg_query_time"), F.round(F.avg("retrieved_count"), 6).alias("avg_retrieved_count"))
 
 
-@query(
-    "A7_memory_builds",
-    """
-    SELECT CASE WHEN is_noise THEN 'noise' ELSE 'dialogue' END AS method, count(*) AS count, CAST(sum(coalesce(turn_count, 0)) AS BIGINT) AS passages,
-        round(avg(coalesce(kp_count, 0)), 6) AS avg_entries FROM sess GROUP BY 1
-    """,
-    uses="sess",
-)
-def _(spark, d):
-    s = sessions(spark, d).groupBy(F.when(F.col("is_noise"), "noise").otherwise("dialogue").alias("method"))
-    return s.agg(F.count("*").alias("count"), F.sum(F.coalesce("turn_count", F.lit(0))).alias("passages"), F.round(F.avg(F.coalesce("kp_count", F.lit(0))), 6).alias("avg_entries"))
-
-
-@query(
-    "A8_builds_per_unit",
-    "SELECT persona_id, round(avg(coalesce(turn_count, 0)), 6) AS avg_chunks, count(*) AS units FROM sess WHERE persona_id IS NOT NULL GROUP BY 1",
-    uses="sess",
-)
-def _(spark, d):
-    return sessions(spark, d).where("persona_id is not null").groupBy("persona_id").agg(F.round(F.avg(F.coalesce("turn_count", F.lit(0))), 6).alias("avg_chunks"), F.count("*").alias("units"))
-
-
 @query("A9_amortized_time", "SELECT query_id, question, context_id, round(sum(query_time) OVER (PARTITION BY context_id) / count(*) OVER (PARTITION BY context_id), 6) AS memory_time FROM results", uses="results")
 def _(spark, d):
     w = Window.partitionBy("context_id")
@@ -150,37 +112,9 @@ def _(spark, d):
     )
 
 
-@query(
-    "A16_by_distance",
-    """
-    SELECT CAST(ceil(upto / 1000) AS BIGINT) AS bucket, count(*) AS n, round(avg(coalesce(turn_count, 0)), 6) AS avg_turns FROM (
-        SELECT turn_count, sum(len) OVER (PARTITION BY persona_id ORDER BY original_index, session_id ROWS UNBOUNDED PRECEDING) AS upto
-        FROM (SELECT s.persona_id, s.session_id, s.original_index, s.turn_count, coalesce(t.len, 0) AS len FROM sess s
-              LEFT JOIN (SELECT session_id, sum(length(content)) AS len FROM turns GROUP BY 1) t USING (session_id) WHERE s.persona_id IS NOT NULL)) GROUP BY 1
-    """,
-    uses="sess turns",
-)
-def _(spark, d):
-    size = turns(spark, d).groupBy("session_id").agg(F.sum(F.length("content")).alias("len"))
-    s = sessions(spark, d).where("persona_id is not null").join(size, "session_id", "left")
-    w = Window.partitionBy("persona_id").orderBy(F.col("original_index").asc_nulls_last(), "session_id").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("upto", F.sum(F.coalesce("len", F.lit(0))).over(w))
-    return s.groupBy(F.ceil(F.col("upto") / 1000).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("turn_count", F.lit(0))), 6).alias("avg_turns"))
-
-
 STATS = "count({v}) AS n, round(avg({v}), 6) AS mean, round(coalesce(stddev_samp({v}), 0), 6) AS std, round(quantile_cont({v}, 0.5), 6) AS median, round(min({v}), 6) AS low, round(max({v}), 6) AS high"
 
 
-@query("A17_metric_stats", f"SELECT event_type, {STATS.format(v='value')} FROM events GROUP BY 1")
-def _(spark, d):
-    return A.statistics(table(spark, d, "events"), "value", "event_type")
-
-
-@query("A18_latency", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
-def _(spark, d):
-    return A.latency(table(spark, d, "events"), "value", "event_type")
-
-
 @query("A19_run_means", "SELECT count(*) AS runs, round(avg(m), 6) AS mean, round(coalesce(stddev_pop(m), 0), 6) AS std FROM (SELECT avg(value) AS m FROM events GROUP BY event_id % 5)")
 def _(spark, d):
     return A.run_means(table(spark, d, "events").withColumn("run", F.col("event_id") % 5), "run", "value")
@@ -207,26 +141,6 @@ def _(spark, d):
     return A.best_per_key(k, ["name"], "score", "kp_id")
 
 
-@query(
-    "A25_error_types",
-    """
-    SELECT kind, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (
-        SELECT CASE WHEN is_correct THEN 'right' WHEN model_output IS NULL OR trim(model_output) = '' THEN 'empty' WHEN len(expected) = 0 THEN 'ungraded'
-            WHEN length(model_output) < 20 THEN 'short' ELSE 'wrong' END AS kind FROM results) GROUP BY 1
-    """,
-    uses="results",
-)
-def _(spark, d):
-    kind = F.when(F.col("is_correct"), "right").when(F.col("model_output").isNull() | (F.trim("model_output") == ""), "empty").when(F.size("expected") == 0, "ungraded").when(F.length("model_output") < 20, "short").otherwise("wrong")
-    g = results(spark, d).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-    return g.select("kind", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
-
-
-@query("A26_recording_counts", "SELECT user_id, event_type, count(*) AS recordings, max(ts) AS last_seen FROM events GROUP BY 1, 2")
-def _(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("recordings"), F.max("ts").alias("last_seen"))
-
-
 @query("A27_progress", "SELECT context_id, count(*) AS queries, count(*) FILTER (WHERE model_output IS NOT NULL) AS answered FROM results GROUP BY 1", uses="results")
 def _(spark, d):
     return results(spark, d).groupBy("context_id").agg(F.count("*").alias("queries"), F.count("model_output").alias("answered"))

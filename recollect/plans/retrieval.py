@@ -422,14 +422,6 @@ def _(spark, d):
     return results(spark, d).select("query_id", "question", F.size(F.array_intersect(part("model_output"), part("question"))).cast("long").alias("shared"))
 
 
-@query("J14_best_match", "SELECT a.query_id, max((b.x = a.x)::INT) AS found FROM (SELECT query_id, unnest(expected) AS x FROM results) a LEFT JOIN (SELECT query_id, model_output AS x FROM results) b USING (query_id) GROUP BY 1", uses="results")
-def _(spark, d):
-    r = results(spark, d)
-    a = r.select("query_id", F.explode("expected").alias("x"))
-    b = r.select("query_id", F.col("model_output").alias("y"))
-    return a.join(b, "query_id", "left").groupBy("query_id").agg(F.max((F.col("x") == F.col("y")).cast("int")).alias("found"))
-
-
 @query("J17_order_restored", f"SELECT n.query_id, n.rank, v.label FROM (WITH {NEAR} SELECT * FROM nr WHERE rank <= 3) n JOIN vecs v USING (vec_id)", uses="vecs")
 def _(spark, d):
     return near(spark, d, 3).join(vectors(spark, d).select("vec_id", "label"), "vec_id").select("query_id", "rank", "label").orderBy("query_id", "rank")
