@@ -6,6 +6,8 @@ never crossed with each other and never shuffled for scoring.
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Callable
 from itertools import islice
 
@@ -102,6 +104,26 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return pairs.where("query_id < vec_id").select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), F.col("score").alias("sim"))
 
 
+class Index:
+    """The postings of a corpus, written once and read by every search, with its statistics."""
+
+    def __init__(self, docs: DataFrame, tokens: Callable[[Column], Column]):
+        self.tokens = tokens
+        self.postings, self.stats = postings(docs, tokens)
+        self.df = materialize(self.postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+
+
+_INDEXES: dict[tuple, Index] = {}
+
+
+def index_of(spark, folder: str, name: str, docs: Callable[[], DataFrame], tokens: Callable[[Column], Column]) -> Index:
+    """The index of a named corpus, built on its first use in an application."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = Index(docs(), tokens)
+    return _INDEXES[key]
+
+
 def postings(docs: DataFrame, tokens: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     """(term, doc_id, tf, dl) and the corpus' number of documents and mean length, over all documents.
 
@@ -113,14 +135,15 @@ def postings(docs: DataFrame, tokens: Callable[[Column], Column]) -> tuple[DataF
     return p, size.join(p.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))).select("N", F.coalesce(F.try_divide(F.col("words").cast("double"), F.col("N")), F.lit(0.0)).alias("avgdl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, tokens: Callable[[Column], Column], k: int | None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, unique: bool = False) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame | Index, tokens: Callable[[Column], Column], k: int | None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, unique: bool = False) -> DataFrame:
     """query_id, doc_id, score, rank by Okapi BM25; scores of 0 or less are dropped after ranking.
 
     Negative idf values are replaced by ``epsilon`` times the mean idf of all terms. Terms repeated in a query count
-    repeatedly unless ``unique``. Only postings of query terms are scored; statistics cover all documents.
+    repeatedly unless ``unique``. Only postings of query terms are scored; statistics cover all documents. ``docs`` may be
+    an index that is there already.
     """
-    p, stats = postings(docs, tokens)
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
+    index = docs if isinstance(docs, Index) else Index(docs, tokens)
+    p, stats, df = index.postings, index.stats, index.df
     idf = df.join(F.broadcast(stats)).select("term", F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))  # stats is one row
     mean = idf.agg(F.avg("raw").alias("mean"))
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"))) if unique else tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -226,3 +249,101 @@ def kept_suffix(rows: DataFrame, by: str, order: str, size: str, budget: int) ->
     """The latest rows whose sizes add up to at most the budget."""
     w = Window.partitionBy(by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_upto", F.sum(size).over(w)).where(F.col("_upto") <= budget).drop("_upto")
+
+
+def tfidf_weights(index: Index) -> DataFrame:
+    """term, doc_id, w, df: tf * (ln((1 + N) / (1 + df)) + 1), each document scaled to length 1."""
+    w = index.postings.join(index.df, "term").join(F.broadcast(index.stats))  # one row
+    w = w.select("term", "doc_id", "df", (F.col("tf") * (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1)).alias("w"))
+    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norm, "doc_id").select("term", "doc_id", "df", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def tfidf_rerank(queries: DataFrame, hits: DataFrame, index: Index, k: int, weight: float = 0.7) -> DataFrame:
+    """query_id, doc_id, score, rank: ``weight`` * score + (1 - weight) * tf-idf cosine over the candidates, the best k of each query."""
+    w = tfidf_weights(index).join(F.broadcast(hits.select("doc_id").distinct()) if hits.select("doc_id").distinct().count() <= MOST_TERMS else hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    q = queries.select("query_id", F.explode(index.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    q = q.join(index.df, "term").join(F.broadcast(index.stats)).select("query_id", "term", (F.col("qtf") * (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1)).alias("qw"))
+    norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("norm"))
+    q = q.join(norm, "query_id").select("query_id", "term", (F.col("qw") / F.col("norm")).alias("qw"))
+    cos = hits.select("query_id", "doc_id").join(q, "query_id").join(w, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("cos"))
+    s = hits.select("query_id", "doc_id", "score").join(cos, ["query_id", "doc_id"], "left").select("query_id", "doc_id", rounded(weight * F.col("score") + (1 - weight) * F.coalesce("cos", F.lit(0.0))).alias("score"))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+
+
+def tfidf_pairs(index: Index, threshold: float) -> DataFrame:
+    """a, b: the documents a < b whose tf-idf cosine reaches the threshold, exactly.
+
+    With the terms in order of rarity, two such documents share a term before the point from which the rest of either's vector is
+    shorter than the threshold; only these prefixes, which leave the frequent terms out, are joined.
+    """
+    w = tfidf_weights(index)
+    later = Window.partitionBy("doc_id").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
+    prefix = w.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(later))).where(F.col("rest") >= threshold - 1e-9).select("term", "doc_id")
+    pairs = prefix.withColumnRenamed("doc_id", "a").join(prefix.withColumnRenamed("doc_id", "b"), "term").where("a < b").select("a", "b").distinct()
+    va, vb = w.select(F.col("doc_id").alias("a"), "term", F.col("w").alias("wa")), w.select(F.col("doc_id").alias("b"), "term", F.col("w").alias("wb"))
+    return pairs.join(va, "a").join(vb, ["b", "term"]).groupBy("a", "b").agg(rounded(F.sum(F.col("wa") * F.col("wb"))).alias("cos")).where(F.col("cos") >= threshold).select("a", "b")
+
+
+def keep_first(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, kept: in order of the ids, one stays unless an earlier one that stays is paired with it (a < b).
+
+    Rounds decide every id whose earlier neighbours are decided; each is written, and they are as many as the longest chain.
+    """
+    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+    state = materialize(ids.select("id").distinct().join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").withColumn("kept", F.lit(True)), "kept")
+    open_ = materialize(pairs.select(F.col("b").alias("id")).distinct(), "open")
+    while not open_.isEmpty():
+        known = pairs.join(open_.withColumnRenamed("id", "b"), "b", "left_semi").join(state.select(F.col("id").alias("a"), "kept"), "a", "left")
+        g = known.groupBy("b").agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("beside"), F.count_if(F.col("kept").isNull()).alias("unknown"))
+        new = materialize(g.where("beside or unknown = 0").select(F.col("b").alias("id"), (~F.col("beside")).alias("kept")), "kept")
+        state, open_ = state.unionByName(new), materialize(open_.join(new, "id", "left_anti"), "open")
+    return state
+
+
+def word_search(queries: DataFrame, fields: DataFrame, tokens: Callable[[Column], Column], limit: int, prefix: int = 3) -> DataFrame:
+    """query_id, doc_id, score, mode: documents with all words of a query, or, where those are fewer than the limit, with any.
+
+    ``fields``: doc_id, text, weight. A query's word of at least ``prefix`` letters matches every word that it begins. The score sums
+    each word's heaviest field and is brought below 1 by x / (x + 1); the best ``limit`` of a query, ties by doc_id.
+    """
+    p = fields.select("doc_id", "weight", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term")).groupBy("doc_id", "term").agg(F.max("weight").alias("weight"))
+    p = materialize(p, "fields")
+    q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("w")).select("query_id", F.size("w").alias("words"), F.explode("w").alias("word"))
+    terms = p.select("term").distinct()  # the vocabulary
+    heads = terms.select("term", F.explode(F.when(F.length("term") > prefix, F.transform(F.sequence(F.lit(prefix), F.length("term") - 1), lambda i: F.substring(F.col("term"), F.lit(1), i))).otherwise(F.array().cast("array<string>"))).alias("word"))
+    match = terms.select("term", F.col("term").alias("word")).union(heads)
+    hit = q.join(match, "word").join(p, "term").groupBy("query_id", "words", "doc_id", "word").agg(F.max("weight").alias("weight"))
+    hit = materialize(hit.groupBy("query_id", "words", "doc_id").agg(F.count("*").alias("found"), F.sum("weight").alias("s")), "hits")
+    whole = hit.groupBy("query_id").agg((F.count_if(F.col("found") == F.col("words")) >= limit).alias("enough"))
+    s = hit.join(whole, "query_id").where(~F.col("enough") | (F.col("found") == F.col("words")))
+    s = s.select("query_id", "doc_id", rounded(F.col("s") / (F.col("s") + 1)).alias("score"), F.when(F.col("enough"), "and").otherwise("or").alias("mode"))
+    return s.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("n") <= limit).drop("n")
+
+
+def encoded_cursor(values: list) -> str:
+    """An opaque cursor of a row's sort value and id."""
+    return base64.urlsafe_b64encode(json.dumps(values).encode()).decode()
+
+
+def cursor_page(rows: DataFrame, sort: str, id_col: str, allowed: tuple[str, ...], cursor: str | None, limit: int, most: int = 100) -> tuple[list, str | None]:
+    """(rows, next cursor): at most ``most`` rows after the cursor, by ``sort`` descending and id; one row more tells whether there is a next page."""
+    if sort not in allowed:
+        raise ValueError(f"sort by one of {allowed}")
+    limit = max(1, min(limit, most))
+    if cursor:
+        value, last = json.loads(base64.urlsafe_b64decode(cursor))
+        at = F.lit(value).cast(rows.schema[sort].dataType)
+        rows = rows.where((F.col(sort) < at) | ((F.col(sort) == at) & (F.col(id_col) > last)))
+    page = rows.orderBy(F.desc(sort), id_col).limit(limit + 1).collect()  # at most 101 rows
+    more = len(page) > limit
+    return page[:limit], encoded_cursor([page[limit - 1][sort], page[limit - 1][id_col]]) if more else None
+
+
+def middle_page(rows: DataFrame, order: list[Column], after: Column, before: Column, limit: int) -> DataFrame:
+    """Of the first 2 * limit rows between two bounds, the ``limit`` in the middle."""
+    few = rows.where(after & before).orderBy(*order).limit(2 * limit)  # bounded, so the windows hold at most 2 * limit rows
+    w = Window.orderBy(*order)
+    few = few.withColumn("_n", F.row_number().over(w) - 1).withColumn("_all", F.count("*").over(Window.partitionBy()))
+    start = F.greatest(F.lit(0), F.floor((F.col("_all") - limit) / 2))
+    return few.where((F.col("_n") >= start) & (F.col("_n") < start + limit)).drop("_n", "_all")

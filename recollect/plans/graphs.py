@@ -111,13 +111,6 @@ def _(spark, d):
     return t.select("src", "dst", F.round(F.coalesce("a", F.lit(1)) + F.coalesce("b", F.lit(1)) + 1, 6).alias("distance")).orderBy("distance", "src", "dst").limit(20)
 
 
-@query("R21_relation_search", wrap(f"{E}", "SELECT src AS node, 'out' AS direction, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT dst, 'in', count(*) FROM e GROUP BY 1"), uses="nodes")
-def _(spark, d):
-    _, e = graph(spark, d)
-    out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).withColumn("direction", F.lit("out"))
-    return out.unionByName(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).withColumn("direction", F.lit("in")))
-
-
 @query("R25_link_expansion", wrap(f"{E}, s AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM e)", "SELECT src, dst FROM s WHERE n <= 3"), uses="nodes")
 def _(spark, d):
     _, e = graph(spark, d)
@@ -146,5 +139,3 @@ def _(spark, d):
 def _(spark, d):
     _, e = graph(spark, d)
     return G.triangles(e)
-
-

@@ -39,7 +39,7 @@ def docs(spark, d):
 
 
 def _bm25(spark, d, k=5, **kw):
-    return R.bm25(asked(spark, d), docs(spark, d), T.mixed_tokens, k, **kw)
+    return R.bm25(asked(spark, d), R.index_of(spark, d, "documents", lambda: docs(spark, d), T.mixed_tokens), T.mixed_tokens, k, **kw)
 
 
 @query("R1_bm25", f"WITH {ASKED}, {bm25_sql('documents', 'asked')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 5 AND score > 0")
@@ -52,11 +52,6 @@ def _(spark, d):
     return _bm25(spark, d, 20).groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"))
 
 
-@query("R4_unique_terms", f"WITH {ASKED}, {bm25_sql('documents', 'asked', True)} SELECT query_id, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 5 AND score > 0")
-def _(spark, d):
-    return _bm25(spark, d, unique=True).select("query_id", "doc_id", F.round("score", 6).alias("score"))
-
-
 @query("R7_key_and_category", f"WITH {ASKED}, kd AS (SELECT DISTINCT kp_id AS doc_id, coalesce(name, '') || ' ' || coalesce(category, '') AS text FROM key_points), {bm25_sql('kd', 'asked')} SELECT query_id, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 5 AND score > 0")
 def _(spark, d):
     kd = table(spark, d, "key_points").select(F.col("kp_id").alias("doc_id"), F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("category", F.lit(""))).alias("text")).distinct()
@@ -127,12 +122,6 @@ def _(spark, d):
     return n.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("w"), "vec_id"))).where("n <= 5").select("query_id", "vec_id", F.round("w", 6).alias("score"))
 
 
-@query("R17_average_vector", "SELECT label, round(sum(x * x), 6) AS energy FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs) GROUP BY 1, 2) GROUP BY 1", uses="vecs")
-def _(spark, d):
-    e = vectors(spark, d).select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    return e.groupBy("label").agg(F.round(F.sum(F.col("x") * F.col("x")), 6).alias("energy"))
-
-
 @query("R16_key_dedup", f"SELECT query_id, CASE WHEN s >= 0.5 THEN 'append' ELSE 'new' END AS action FROM (SELECT query_id, max(score) AS s FROM (WITH {NEAR} SELECT * FROM near WHERE vec_id < query_id) GROUP BY 1)", uses="vecs")
 def _(spark, d):
     n = near(spark, d, None, threshold=-2.0).where("vec_id < query_id")
@@ -146,12 +135,6 @@ def _(spark, d):
     return v.select(F.col("vec_id").alias("query_id")).distinct().join(known, "query_id", "left").select("query_id", F.coalesce("action", F.lit("new")).alias("action"))
 
 
-@query("R3_hybrid")
-def _(spark, d):
-    sem = near(spark, d, 50).select("query_id", F.col("vec_id").alias("doc_id"), "score")
-    return R.hybrid(_bm25(spark, d, 50).select("query_id", "doc_id", "score"), sem, 0.5, 5)
-
-
 @query("W13_minmax", "SELECT event_id, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 0.000001), 6) AS scaled FROM events WINDOW w AS (PARTITION BY event_type)")
 def _(spark, d):
     return R.minmax(table(spark, d, "events"), "event_type", "value", "s").select("event_id", F.round("s", 6).alias("scaled"))
@@ -165,16 +148,6 @@ def _(spark, d):
     return e.select("event_id", F.round(F.when(F.col("sd") <= 1e-9, 1.0).otherwise(z), 6).alias("z"))
 
 
-LISTS = f"{ASKED}, {bm25_sql('documents', 'asked')}, pat AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank FROM sc WHERE score > 0)"
-
-
-@query("Q1_rank_fusion", f"WITH {LISTS} SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM rk WHERE rank <= 10 AND score > 0 UNION ALL SELECT * FROM pat WHERE rank <= 10) GROUP BY ALL")
-def _(spark, d):
-    b = _bm25(spark, d, None)
-    newest = b.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("doc_id")))).where("rank <= 10")
-    return R.reciprocal_rank_fusion([b.where("rank <= 10"), newest]).select("query_id", "doc_id", F.round("score", 6).alias("score"))
-
-
 @query("Q2_recency", "SELECT event_id, round(value * (0.3 + 0.7 * pow(0.5, greatest(date_diff('second', ts, TIMESTAMP '2024-02-01') / 86400.0, 0) / 14)), 6) AS score FROM events")
 def _(spark, d):
     age = (F.unix_timestamp(F.lit("2024-02-01").cast("timestamp_ntz").cast("timestamp")) - F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))) / 86400.0
@@ -199,20 +172,6 @@ def _(spark, d):
     return R.ranked_per_query(n, R.choose_mmr(10, 0.8, prefill=2, steep=10.0), vectors(spark, d), 30)
 
 
-@query("Q4_hybrid_recall", f"""
-    WITH {LISTS}, f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS s FROM (SELECT query_id, doc_id, rank FROM rk WHERE rank <= 25 AND score > 0 UNION ALL SELECT * FROM pat WHERE rank <= 25) GROUP BY ALL),
-    g AS (SELECT query_id, doc_id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM f)
-    SELECT query_id, doc_id, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM g WHERE score >= 0.3) WHERE n <= 5
-    """)
-def _(spark, d):
-    b = _bm25(spark, d, None)
-    newest = b.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("doc_id")))).where("rank <= 25")
-    f = R.reciprocal_rank_fusion([b.where("rank <= 25"), newest])
-    w = Window.partitionBy("query_id")
-    g = f.withColumn("score", F.round(F.col("score") / F.max("score").over(w), 6)).where("score >= 0.3")
-    return g.withColumn("n", F.row_number().over(w.orderBy(F.desc("score"), "doc_id"))).where("n <= 5").select("query_id", "doc_id", F.round("score", 3).alias("score"))
-
-
 @query("Q5_pattern_terms", r"SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(list_distinct(list_concat(list_filter(regexp_split_to_array(regexp_replace(text, '[^\p{L}\p{N}]', ' ', 'g'), '\s+'), lambda t: length(t) = 2), list_filter(list_transform(range(1, length(text)), lambda i: substr(text, i, 2)), lambda t: regexp_full_match(t, '[\x{4e00}-\x{9fff}]{2}'))))) AS term FROM asked)".replace("SELECT DISTINCT query_id, term", f"WITH {ASKED} SELECT DISTINCT query_id, term", 1))
 def _(spark, d):
     two = F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}]", " "), r"\s+"), lambda t: F.length(t) == 2)
@@ -226,14 +185,6 @@ def _(spark, d):
     return key_points(spark, d).where(hit).orderBy(F.col("session_id").desc_nulls_last(), "kp_id").limit(20).select("kp_id")
 
 
-@query("Q7_trigram_match")
-def _(spark, d):
-    tri = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(F.lower(x), i, F.lit(3)))
-    k = table(spark, d, "key_points").select(F.col("kp_id").alias("doc_id"), F.col("name").alias("text")).where("length(text) >= 3").distinct()
-    s = R.bm25(asked(spark, d), k, tri, 20)
-    return s.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6))
-
-
 @query("Q15_word_overlap", f"WITH {ASKED} SELECT query_id, doc_id, CAST(n AS BIGINT) AS shared FROM (SELECT query_id, doc_id, n, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS r FROM (SELECT q.query_id, k.doc_id, count(*) AS n FROM (SELECT query_id, unnest(list_distinct({TOK.format(x='text')})) AS t FROM asked) q JOIN (SELECT DISTINCT name AS doc_id, unnest(list_distinct({TOK.format(x='name')})) AS t FROM key_points) k USING (t) GROUP BY ALL)) WHERE r <= 3")
 def _(spark, d):
     words = lambda c: F.explode(F.array_distinct(T.mixed_tokens(F.col(c)))).alias("t")
@@ -248,32 +199,16 @@ def _(spark, d):
     return R.dense(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v"), v.where("label = 1").select("vec_id", "v"), 3).select("query_id", "vec_id")
 
 
-@query("Q17_entity_lookup", f"SELECT DISTINCT query_id, vec_id FROM (WITH {NEAR} SELECT * FROM nr WHERE rank <= 5 AND 1 - score < 0.7)", uses="vecs")
-def _(spark, d):
-    return near(spark, d, 5).where("1 - score < 0.7").select("query_id", "vec_id").distinct()
-
-
 @query("Q19_collection_search", f"SELECT query_id, count(*) AS n, round(avg(score), 6) AS mean FROM (WITH {NEAR} SELECT * FROM nr WHERE rank <= 10) GROUP BY 1", uses="vecs")
 def _(spark, d):
     return near(spark, d, 10).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query("Q20_corpus_order", f"SELECT DISTINCT vec_id FROM (WITH {NEAR} SELECT * FROM nr WHERE rank <= 3)", uses="vecs")
-def _(spark, d):
-    return near(spark, d, 3).select("vec_id").distinct().orderBy("vec_id")
-
-
 @query("R32_evidence_dot", "SELECT query_id, vec_id FROM (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, c.v), 9) DESC, c.vec_id) AS n FROM vecs q, vecs c WHERE q.vec_id % 50 = 0) WHERE n <= 3", uses="vecs")
 def _(spark, d):
     return near(spark, d, 3, metric="dot").select("query_id", "vec_id")
 
 
-@query("R14_tfidf_duplicates", "SELECT a.name AS keep, b.name AS dup FROM (SELECT DISTINCT name FROM kps) a JOIN (SELECT DISTINCT name FROM kps) b ON lower(a.name) = lower(b.name) AND a.name < b.name", uses="kps")
-def _(spark, d):
-    n = key_points(spark, d).select("name", F.lower("name").alias("k")).distinct()
-    return n.select("k", F.col("name").alias("keep")).join(n.select("k", F.col("name").alias("dup")), "k").where("keep < dup").select("keep", "dup")
-
-
 @query("R15_value_aware", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY z DESC, event_id) AS n FROM (SELECT user_id, event_id, round(CASE WHEN sd <= 1e-9 THEN 1 ELSE greatest(least((value - m) / sd, 3), -3) END, 6) AS z FROM (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd FROM events WINDOW w AS (PARTITION BY user_id)))) WHERE n <= 3")
 def _(spark, d):
     w = Window.partitionBy("user_id")
@@ -289,43 +224,6 @@ def _(spark, d):
     return n.select("query_id", "vec_id", F.round(F.col("score") * F.when(F.col("lv") == F.col("lq"), 1.2).otherwise(1.0), 6).alias("score"))
 
 
-@query("R5_key_tag_recall", "SELECT kp_id FROM kps WHERE name IN ('sciatica', '左甲状腺素') OR (category IN ('lab', 'habit'))::INT + (contains(coalesce(content, ''), 'sample') OR contains(coalesce(content, ''), '样本'))::INT >= 2", uses="kps")
-def _(spark, d):
-    tags = F.col("category").isin("lab", "habit").cast("int") + (F.contains(F.coalesce("content", F.lit("")), F.lit("sample")) | F.contains(F.coalesce("content", F.lit("")), F.lit("样本"))).cast("int")
-    return key_points(spark, d).where(F.col("name").isin("sciatica", "左甲状腺素") | (F.coalesce(tags, F.lit(0)) >= 2)).select("kp_id")
-
-
-@query("R8_full_text", "SELECT kp_id, CAST((length(lower(content)) - length(replace(lower(content), 'blood', ''))) / 5 AS BIGINT) AS hits FROM kps WHERE contains(lower(content), 'blood')", uses="kps")
-def _(spark, d):
-    c = F.lower("content")
-    return key_points(spark, d).where(F.contains(c, F.lit("blood"))).select("kp_id", ((F.length(c) - F.length(F.replace(c, F.lit("blood"), F.lit("")))) / 5).cast("long").alias("hits"))
-
-
-@query("R9_and_or_fallback")
-def _(spark, d):
-    b = R.bm25(asked(spark, d), docs(spark, d), T.keyword_tokens, None, unique=True)
-    terms = asked(spark, d).select("query_id", F.size(F.array_distinct(T.keyword_tokens(F.col("text")))).alias("terms"))
-    return b.join(terms, "query_id").where("rank <= 10").select("query_id", "doc_id", F.round(F.col("score") / (F.col("score") + 1), 6).alias("score"))
-
-
-@query("T5_keyset_page", "SELECT event_id FROM events WHERE (ts, event_id) > (TIMESTAMP '2024-01-10', 100) ORDER BY ts, event_id LIMIT 25")
-def _(spark, d):
-    at = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
-    e = table(spark, d, "events")
-    after = (F.col("ts") > at) | ((F.col("ts") == at) & (F.col("event_id") > 100))
-    return e.where(after).orderBy("ts", "event_id").limit(25).select("event_id")
-
-
-@query("T6_cursor_page", "SELECT event_id FROM events WHERE value < 50 ORDER BY value DESC, event_id LIMIT 21")
-def _(spark, d):
-    return table(spark, d, "events").where("value < 50").orderBy(F.desc("value"), "event_id").limit(21).select("event_id")
-
-
-@query("T7_smallest_sums", "SELECT event_id, round(value + event_id % 7, 6) AS distance FROM events ORDER BY 2, 1 LIMIT 5")
-def _(spark, d):
-    return table(spark, d, "events").select("event_id", F.round(F.col("value") + F.col("event_id") % 7, 6).alias("distance")).orderBy("distance", "event_id").limit(5)
-
-
 @query("T8_trim_per_type", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n FROM events) WHERE n <= CASE event_type WHEN 'click' THEN 6 WHEN 'view' THEN 3 ELSE 5 END")
 def _(spark, d):
     w = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
