@@ -96,3 +96,67 @@ def injected(originals: DataFrame, noise: DataFrame, key: str, order: str, sprea
     n = n.withColumn("place", F.pmod(F.xxhash64(key, order, F.lit(seed)), top + 1).cast("int")).withColumn("kind", F.lit(0)).drop("N")
     both = o.unionByName(n)
     return both.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("place", "kind", "i")) - 1).select(key, order, (F.col("kind") == 0).alias("is_noise"), "position")
+
+
+def drawn(*parts: Column | str) -> Column:
+    """A number from 0 to 2^32 - 1 drawn from the parts: the first eight digits of an MD5, so that a rerun draws it again."""
+    cols = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
+    return F.conv(F.left(F.md5(F.concat_ws(":", *cols)), F.lit(8)), 16, 10).cast("long")
+
+
+#: Tenths of the noise that go to places within the first 20, 40, 60, 80 and 100 per cent.
+NOISE_WEIGHTS = (3, 3, 2, 1, 1)
+
+
+def interleaved(originals: DataFrame, noise: DataFrame, key: str, order: str, seed: str) -> DataFrame:
+    """key, order, is_noise, position: all noise rows placed among a key's originals, more of it early (``NOISE_WEIGHTS``).
+
+    ``originals`` has ``at``, the running number from 0. A noise row draws a place up to its share's bound, before what stands there;
+    the places are sorted, so that the noise rows keep their order. Keys without originals get none.
+    """
+    w = Window.partitionBy(key)
+    sizes = originals.groupBy(key).agg(F.count("*").alias("N"))
+    n = noise.select(key, order).withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("M", F.count("*").over(w)).join(sizes, key)
+    share, ends = F.lit(len(NOISE_WEIGHTS) - 1), F.lit(0)
+    for k, weight in enumerate(NOISE_WEIGHTS[:-1]):
+        ends = ends + F.floor(F.col("M") * weight / sum(NOISE_WEIGHTS))
+        share = F.least(share, F.when(F.col("i") < ends, k).otherwise(len(NOISE_WEIGHTS) - 1))
+    bound = F.greatest(F.lit(1), F.floor(F.col("N") * (share + 1) / len(NOISE_WEIGHTS)))
+    places = n.withColumn("place", drawn(F.col(key), F.col("i"), seed) % (bound + 1)).withColumn("r", F.row_number().over(w.orderBy("place", "i")) - 1).select(key, "place", F.col("r").alias("i"))
+    placed = n.select(key, order, "i").join(places, [key, "i"]).withColumn("kind", F.lit(0))
+    both = originals.select(key, order, F.col("at").alias("place"), F.col("at").alias("i"), F.lit(1).alias("kind")).unionByName(placed.select(key, order, F.col("place").cast("int").alias("place"), "i", "kind"))
+    return both.withColumn("position", F.row_number().over(w.orderBy("place", "kind", "i")) - 1).select(key, order, (F.col("kind") == 0).alias("is_noise"), "position")
+
+
+def merged_units(sessions: DataFrame, queries: DataFrame, interval: int) -> DataFrame:
+    """unit, persona_id, eval_session_id, sessions, queries: units counted on over all personas, in their order.
+
+    Every ``interval``-th clean session ends a unit, which takes all sessions since the last end; it counts only if queries belong
+    to that session. Each persona's running numbers start from the counts before it, so no task sorts all sessions.
+    """
+    w = Window.partitionBy("persona_id")
+    s = sessions.select("persona_id", "session_id", "original_index", "is_noise").distinct().withColumn("clean", (~F.col("is_noise")).cast("int"))
+    base = s.groupBy("persona_id").agg(F.sum("clean").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("persona_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a persona
+    run = F.sum("clean").over(w.orderBy(F.col("original_index").asc_nulls_last(), "session_id", "is_noise").rowsBetween(Window.unboundedPreceding, 0))
+    s = s.withColumn("run", run).join(base, "persona_id").withColumn("c", F.col("base") + F.col("run"))
+    s = s.withColumn("block", F.floor((F.col("c") - F.col("clean")) / interval)).withColumn("ends", (F.col("clean") == 1) & (F.col("c") % interval == 0))
+    u = s.groupBy("block").agg(F.count("*").alias("sessions"), F.max(F.when(F.col("ends"), F.col("session_id"))).alias("eval_session_id"), F.max(F.when(F.col("ends"), F.col("persona_id"))).alias("persona_id"))
+    asked = queries.groupBy(F.col("session_id").alias("eval_session_id")).agg(F.countDistinct("query_id").alias("queries"))
+    u = u.where("eval_session_id is not null").join(asked, "eval_session_id")
+    return u.withColumn("unit", F.row_number().over(Window.orderBy("block")) - 1).select("unit", "persona_id", "eval_session_id", "sessions", "queries")  # one row a unit
+
+
+def traps_inserted(originals: DataFrame, traps: DataFrame, key: str) -> DataFrame:
+    """key, event_id, event_date, is_trap, position: traps at drawn places, each with a drawn date between a key's first and last original.
+
+    ``originals``: key, event_id, event_date (yyyy-MM-dd). Places are drawn independently among the gaps of the originals; traps in one
+    gap keep the order of their ids. Keys without originals get no traps.
+    """
+    w = Window.partitionBy(key)
+    o = originals.withColumn("place", (F.row_number().over(w.orderBy("event_date", "event_id")) - 1).cast("long")).withColumn("kind", F.lit(1))
+    phase = originals.groupBy(key).agg(F.to_date(F.min("event_date")).alias("a"), F.to_date(F.max("event_date")).alias("b"), F.count("*").alias("N"))
+    t = traps.join(phase, key).select(
+        key, "event_id", F.date_add("a", (drawn(F.col("event_id"), "date") % (F.date_diff("b", "a") + 1)).cast("int")).cast("string").alias("event_date"), (drawn(F.col("event_id"), "place") % (F.col("N") + 1)).alias("place"), F.lit(0).alias("kind")
+    )
+    both = o.select(key, "event_id", "event_date", "place", "kind").unionByName(t)
+    return both.select(key, "event_id", "event_date", (F.col("kind") == 0).alias("is_trap"), (F.row_number().over(w.orderBy("place", "kind", "event_id")) - 1).alias("position"))

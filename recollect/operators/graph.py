@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.runtime import materialize
@@ -178,3 +178,41 @@ def recursive_clusters(vectors: DataFrame, most: int = 60, least: int = 10, bran
     return state.select("vec_id", "cluster")
 
 
+
+
+class Graph:
+    """Nodes (node) and edges (src, dst) with the changes of a graph store; each returns a new graph and is one plan."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame):
+        self.nodes, self.edges = nodes.select("node").distinct(), edges.select("src", "dst").distinct()
+
+    def add_nodes(self, nodes: DataFrame) -> Graph:
+        return Graph(self.nodes.union(nodes.select("node")), self.edges)
+
+    def add_edges(self, edges: DataFrame) -> Graph:
+        """Adds edges, once each, and the nodes that they need."""
+        e = edges.select("src", "dst")
+        return Graph(self.nodes.union(e.select("src")).union(e.select("dst")), self.edges.union(e))
+
+    def delete_nodes(self, condition: Column) -> Graph:
+        """Deletes nodes and the edges at them."""
+        gone = self.nodes.where(condition)
+        e = self.edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+        return Graph(self.nodes.join(gone, "node", "left_anti"), e)
+
+    def delete_edges(self, edges: DataFrame) -> Graph:
+        return Graph(self.nodes, self.edges.join(edges.select("src", "dst"), ["src", "dst"], "left_anti"))
+
+    def merge(self, into: Column) -> Graph:
+        """Each node becomes the one that ``into`` (of column node) names, which inherits its edges; loops that arise are dropped."""
+        m = self.nodes.select("node", into.alias("to"))
+        e = self.edges.join(m.select(F.col("node").alias("src"), F.col("to").alias("a")), "src").join(m.select(F.col("node").alias("dst"), F.col("to").alias("b")), "dst")
+        return Graph(m.select(F.col("to").alias("node")), e.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    def degrees(self) -> DataFrame:
+        """node, predecessors, successors; 0 for nodes without."""
+        ends = self.edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(self.edges.select("dst", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+        return self.nodes.join(ends, "node", "left").select("node", F.coalesce("i", F.lit(0)).alias("predecessors"), F.coalesce("o", F.lit(0)).alias("successors"))
+
+    def disconnected(self) -> DataFrame:
+        return self.degrees().where("predecessors + successors = 0").select("node")

@@ -48,3 +48,87 @@ def evicted(rows: DataFrame, by: str, newest: list[Column], limit: int, share: f
     w = Window.partitionBy(by)
     r = rows.withColumn("_size", F.count("*").over(w)).withColumn("_n", F.row_number().over(w.orderBy(*newest)))
     return r.where((F.col("_size") < share * limit) | (F.col("_n") <= limit)).drop("_size", "_n")
+
+
+class Collection:
+    """A vector collection held as one DataFrame (vec_id, v, payload columns): the operations of a vector store, each a plan.
+
+    Changes replace the frame; ``save`` writes it, after which later plans start from the table.
+    """
+
+    def __init__(self, rows: DataFrame, key: str = "vec_id"):
+        self.rows, self.key = rows, key
+
+    def insert(self, rows: DataFrame) -> Collection:
+        """Rows of new keys; those of known keys are left as they are."""
+        return Collection(self.rows.unionByName(rows.join(self.rows.select(self.key), self.key, "left_anti")), self.key)
+
+    def update(self, rows: DataFrame) -> Collection:
+        """Rows of known keys are replaced, others left out."""
+        return Collection(upsert(self.rows, rows.join(self.rows.select(self.key), self.key, "left_semi"), [self.key]), self.key)
+
+    def delete(self, condition: Column) -> Collection:
+        return Collection(self.rows.where(~F.coalesce(condition, F.lit(False))), self.key)
+
+    def get(self, *keys: int) -> DataFrame:
+        return self.rows.where(F.col(self.key).isin(*keys))
+
+    def list(self, condition: Column | None = None, limit: int | None = None) -> DataFrame:
+        rows = self.rows if condition is None else self.rows.where(condition)
+        return rows if limit is None else rows.orderBy(self.key).limit(limit)
+
+    def search(self, queries: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
+        """query_id, vec_id, score, rank of the k nearest by cosine among the rows that meet the condition."""
+        from recollect.operators.retrieval import dense
+
+        return dense(queries, self.list(condition).select(F.col(self.key).alias("vec_id"), "v"), k)
+
+    def save(self, name: str) -> Collection:
+        from recollect.runtime import materialize
+
+        return Collection(materialize(self.rows, name), self.key)
+
+
+def retained(old: DataFrame, new: DataFrame, by: str, key: str, keep: int, capacity: int) -> DataFrame:
+    """by, key, score, recordings: a monitor after an update.
+
+    ``old`` (by, key, score, recordings) and ``new`` (by, key, score): keys of both take the new score and count one more, new ones count
+    one; of the old ones that didn't come again the best ``keep`` stay, with score 0 and a count of one; the best ``capacity`` remain.
+    """
+    both = old.withColumnsRenamed({"score": "_old"}).join(new, [by, key], "full")
+    seen = both.where("score is not null").select(by, key, "score", (F.coalesce("recordings", F.lit(0)) + 1).alias("recordings"))
+    w = Window.partitionBy(by)
+    gone = both.where("score is null").withColumn("n", F.row_number().over(w.orderBy(F.desc("_old"), key))).where(F.col("n") <= keep)
+    rows = seen.unionByName(gone.select(by, key, F.lit(0.0).alias("score"), F.lit(1).cast(seen.schema["recordings"].dataType).alias("recordings")))
+    return rows.withColumn("n", F.row_number().over(w.orderBy(F.desc("score"), F.desc("recordings"), key))).where(F.col("n") <= capacity).drop("n")
+
+
+def history(log: DataFrame, key: str, order: str, op: str, value: str) -> DataFrame:
+    """Adds ``old``: what a key held before each operation; nothing before its first write and after a DELETE."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col(op).isin("ADD", "UPDATE", "DELETE"), F.struct(F.col(op).alias("op"), F.col(value).alias("value"))), ignorenulls=True).over(w)
+    return log.withColumn("_last", last).withColumn("old", F.when(F.col("_last.op") != "DELETE", F.col("_last.value"))).drop("_last")
+
+
+def resumed(queries: DataFrame, persona: str, query: str, stopped_at: int, finished: int) -> DataFrame:
+    """query, runs: how often each query is evaluated when a run stops within a persona and is resumed.
+
+    The list of finished queries is cleared with the persona at hand, so its first ``finished`` queries are evaluated again; earlier
+    personas are skipped. Results are upserted by query, so each keeps one.
+    """
+    n = F.row_number().over(Window.partitionBy(persona).orderBy(query))
+    before = queries.where(F.col(persona) <= stopped_at).withColumn("n", n).where((F.col(persona) < stopped_at) | (F.col("n") <= finished)).select(query)
+    after = queries.where(F.col(persona) >= stopped_at).select(query)
+    return before.union(after).groupBy(query).agg(F.count("*").alias("runs"))
+
+
+def resolved(rows: DataFrame, key: str, order: str, value: str, verdict: str) -> DataFrame:
+    """key, value, duplicates, archived, last_conflict: a memory's history by the verdict on each new text against what it held.
+
+    An 'entailment' adds a duplicate, any other verdict archives the present text and puts the new one in its place.
+    """
+    changes = F.col(verdict) != "entailment"
+    return rows.groupBy(key).agg(
+        F.max_by(F.when(changes, F.col(value)), F.when(changes, F.col(order))).alias(value), F.count_if(~changes).alias("duplicates"), F.greatest(F.count_if(changes) - 1, F.lit(0)).alias("archived"),
+        F.max(F.when(F.col(verdict) == "contradiction", F.col(order))).alias("last_conflict"),
+    )

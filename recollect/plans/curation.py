@@ -195,16 +195,6 @@ def _(spark, d):
     return C.units(sessions(spark, d).where("persona_id is not null"), 3)
 
 
-@query("W2_merged_units", "SELECT unit, count(*) AS sessions, min(session_id) AS first_session FROM (SELECT session_id, (row_number() OVER (ORDER BY persona_id, session_id) - 1) // 10 AS unit FROM sess WHERE NOT is_noise AND persona_id IS NOT NULL) GROUP BY 1", uses="sess")
-def _(spark, d):
-    # the running number over all personas is built from each persona's count and the counts before it, so no task sorts everything
-    s = sessions(spark, d).where("not is_noise and persona_id is not null").select("persona_id", "session_id")
-    per = s.groupBy("persona_id").agg(F.count("*").alias("n"))
-    base = per.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("persona_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    u = s.join(base, "persona_id").withColumn("unit", F.floor((F.col("base") + F.row_number().over(Window.partitionBy("persona_id").orderBy("session_id")) - 1) / 10))
-    return u.groupBy("unit").agg(F.count("*").alias("sessions"), F.min("session_id").alias("first_session"))
-
-
 @query("W3_keep_latest", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 5")
 def _(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
@@ -246,18 +236,6 @@ def _(spark, d):
     return s.select("session_id", (F.col("pos") - F.lag("pos", 1, -1).over(w.orderBy("pos")) - 1).alias("gap"))
 
 
-@query("W10_recent_events", "SELECT persona_id, event_id FROM (SELECT persona_id, event_id, row_number() OVER (PARTITION BY persona_id ORDER BY event_date DESC NULLS LAST, event_id DESC) AS n FROM nodes WHERE event_date <= '2024-01-01') WHERE n <= 3", uses="nodes")
-def _(spark, d):
-    w = Window.partitionBy("persona_id").orderBy(F.desc("event_date"), F.desc("event_id"))
-    return nodes(spark, d).where("event_date <= '2024-01-01'").withColumn("n", F.row_number().over(w)).where("n <= 3").select("persona_id", "event_id")
-
-
-@query("W11_first_trap_event", "SELECT persona_id, type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY persona_id, type ORDER BY event_date NULLS LAST, event_id) AS n FROM nodes) WHERE n = 1", uses="nodes")
-def _(spark, d):
-    w = Window.partitionBy("persona_id", "type").orderBy(F.col("event_date").asc_nulls_last(), "event_id")
-    return nodes(spark, d).withColumn("n", F.row_number().over(w)).where("n = 1").select("persona_id", "type", "event_id")
-
-
 @query("W14_recent_facts", "SELECT persona_id, kp_id FROM (SELECT persona_id, kp_id, row_number() OVER (PARTITION BY persona_id ORDER BY session_id DESC NULLS LAST, kp_id DESC) AS n FROM kps) WHERE n <= 4", uses="kps")
 def _(spark, d):
     w = Window.partitionBy("persona_id").orderBy(F.col("session_id").desc_nulls_last(), F.desc("kp_id"))
@@ -281,12 +259,6 @@ def _(spark, d):
     return k.withColumn("n", F.row_number().over(best.orderBy(F.xxhash64("kp_id", F.lit(42)), "kp_id"))).where("n <= 3").select("persona_id", "kp_id")
 
 
-@query("T11_category_choice", "SELECT persona_id, category, count(*) AS points FROM kps WHERE persona_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT session_id) >= 2", uses="kps")
-def _(spark, d):
-    g = key_points(spark, d).where("persona_id is not null").groupBy("persona_id", "category").agg(F.count("*").alias("points"), F.countDistinct("session_id").alias("s"))
-    return g.where("points >= 2 and s >= 2").select("persona_id", "category", "points")
-
-
 @query("T12_first_events", "SELECT persona_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY coalesce(event_date, '9999-12-31'), event_id) AS n FROM nodes) WHERE n <= 2", uses="nodes")
 def _(spark, d):
     w = Window.partitionBy("persona_id").orderBy(F.coalesce("event_date", F.lit("9999-12-31")), "event_id")
@@ -297,15 +269,3 @@ def _(spark, d):
 def _(spark, d):
     used = table(spark, d, "queries").select(F.explode("source_key_points").alias("p")).select("p.category", "p.name", "p.content")
     return key_points(spark, d).join(used, ["category", "name", "content"], "left_anti").select("kp_id")
-
-
-@query("C15_noise_injection")
-def _(spark, d):
-    s = sessions(spark, d).where("persona_id is not null")
-    return C.injected(s.where("not is_noise"), s.where("is_noise"), "persona_id", "session_id")
-
-
-@query("C16_trap_insertion")
-def _(spark, d):
-    n = nodes(spark, d).where("persona_id is not null")
-    return C.injected(n.where("type = 'health'"), n.where("type <> 'health'"), "persona_id", "event_id", seed=7)

@@ -11,12 +11,6 @@ from recollect.plans.registry import key_points, query, results, sessions, turns
 from recollect.runtime import table
 
 
-@query("F9_filter_tree", "SELECT event_id FROM events WHERE (try_cast(props->>'k' AS DOUBLE) >= 3 AND try_cast(props->>'k' AS DOUBLE) < 8) OR event_type = 'purchase'")
-def _(spark, d):
-    tree = compile_filter({"k": {"gte": 3, "lt": 8}}, "props") | compile_filter({"event_type": "purchase"})
-    return table(spark, d, "events").where(tree).select("event_id")
-
-
 @query("F10_tag_filter", "SELECT event_id FROM events WHERE props->>'k' IN ('1', '2', '3') AND props->>'k' IS NOT NULL AND event_type IN ('click', 'view')")
 def _(spark, d):
     return table(spark, d, "events").where(compile_filter({"k": {"$in": [1, 2, 3], "$exists": True}}, "props") & in_scopes(F.col("event_type"), ["click", "view"])).select("event_id")
@@ -132,11 +126,6 @@ def _(spark, d):
     return turns(spark, d).join(used, "session_id", "left_anti").select("session_id", "turn", "role")
 
 
-@query("Q22_all_users", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND contains(lower(event_type), 'c') GROUP BY 1")
-def _(spark, d):
-    return table(spark, d, "events").where((F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")) & F.contains(F.lower("event_type"), F.lit("c"))).groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 @query("Q21_memory_kind_list", "SELECT kp_id, content FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY session_id DESC NULLS LAST, kp_id) AS n FROM kps WHERE content IS NOT NULL) WHERE n <= 5", uses="kps")
 def _(spark, d):
     w = Window.partitionBy("category").orderBy(F.col("session_id").desc_nulls_last(), "kp_id")

@@ -159,15 +159,3 @@ def _(spark, d):
     r = results(spark, d)
     other = r.where("model_output is not null").withColumn("is_correct", F.col("is_correct") & (F.length("model_output") > 60))
     return A.overall(r).withColumn("method", F.lit("first_answer")).unionByName(A.overall(other).withColumn("method", F.lit("longest")))
-
-
-@query(
-    "S12_nested_export",
-    """
-    SELECT persona_id, count(*) AS sessions, array_to_string(list(session_id ORDER BY session_id), ',') AS session_ids FROM sess WHERE persona_id IS NOT NULL GROUP BY 1
-    """,
-    uses="sess",
-)
-def _(spark, d):
-    g = sessions(spark, d).where("persona_id is not null").groupBy("persona_id").agg(F.array_sort(F.collect_list(F.struct("session_id", "turn_count"))).alias("s"))
-    return g.select("persona_id", F.size("s").cast("long").alias("sessions"), F.array_join(F.transform("s", lambda x: x.session_id.cast("string")), ",").alias("session_ids"))

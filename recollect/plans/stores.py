@@ -27,22 +27,11 @@ def _(spark, d):
     return S.fold_log(log(spark, d), "memory_id", ["event_id"], "op", "fact")
 
 
-@query("R29_history", f"SELECT event_id % 500 AS memory_id, event_id, {OP} AS op, lag(round(value, 6)) OVER (PARTITION BY event_id % 500 ORDER BY event_id) AS old_fact FROM events")
-def _(spark, d):
-    return log(spark, d).select("memory_id", "event_id", "op", F.lag("fact").over(Window.partitionBy("memory_id").orderBy("event_id")).alias("old_fact"))
-
-
 @query("R30_eviction", "SELECT event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE c < 48 OR n <= 60")
 def _(spark, d):
     return S.evicted(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 60).select("event_id")
 
 
-@query("R31_monitor_update", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY fresh DESC, value DESC, event_id) AS n FROM (SELECT *, (ts >= TIMESTAMP '2024-01-20')::INT AS fresh FROM events)) WHERE n <= 10")
-def _(spark, d):
-    e = table(spark, d, "events").withColumn("fresh", (F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")).cast("int"))
-    return e.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("fresh"), F.desc("value"), "event_id"))).where("n <= 10").select("user_id", "event_id")
-
-
 @query("R35_valid_at", "SELECT event_id, start_date, coalesce(lead(start_date) OVER (PARTITION BY persona_id, type ORDER BY start_date NULLS FIRST, event_id), 'present') AS invalid_at FROM nodes", uses="nodes")
 def _(spark, d):
     w = Window.partitionBy("persona_id", "type").orderBy("start_date", "event_id")
@@ -56,13 +45,6 @@ def _(spark, d):
     return S.upsert(old, new, ["query_id"]).drop("query_type")
 
 
-@query("S15_collection", "SELECT vec_id, label FROM (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 99 ELSE label END AS label FROM vecs WHERE vec_id % 7 <> 0)", uses="vecs")
-def _(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", "label")
-    kept = v.where("vec_id % 7 <> 0")
-    return S.upsert(kept, kept.where("vec_id % 10 = 0").select("vec_id", F.lit(99).alias("label")), ["vec_id"])
-
-
 @query("X40_q_learning", "SELECT user_id, count(*) AS visits, round(sum(0.3 * value * pow(0.7, later)), 6) AS q, round(sum(0.2 * value * pow(0.8, later)), 6) AS average FROM (SELECT user_id, value, count(*) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) - 1 AS later FROM events) GROUP BY 1")
 def _(spark, d):
     q = S.q_learning(table(spark, d, "events"), "user_id", "event_id", "value")
@@ -136,9 +118,3 @@ def _(spark, d):
 def _(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return n.join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("customers"))
-
-
-@query("R26_history_verdicts", "SELECT memory_id, CAST(sum((v = 'keep')::INT) AS BIGINT) AS kept, CAST(sum((v = 'conflict')::INT) AS BIGINT) AS conflicts FROM (SELECT event_id % 500 AS memory_id, CASE WHEN value < 20 THEN 'conflict' ELSE 'keep' END AS v FROM events) GROUP BY 1")
-def _(spark, d):
-    e = table(spark, d, "events").select((F.col("event_id") % 500).alias("memory_id"), F.when(F.col("value") < 20, "conflict").otherwise("keep").alias("v"))
-    return e.groupBy("memory_id").agg(F.count_if(F.col("v") == "keep").alias("kept"), F.count_if(F.col("v") == "conflict").alias("conflicts"))

@@ -21,11 +21,6 @@ def _(spark, d):
     return S.drained(events(spark, d).select("event_id", "user_id"))
 
 
-@query("ST2_fair_share", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
-def _(spark, d):
-    return S.drained(events(spark, d).groupBy("user_id").agg(F.count("*").alias("n")), "complete")
-
-
 @query("ST3_exactly_once", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def _(spark, d):
     path = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
@@ -35,54 +30,18 @@ def _(spark, d):
     return S.latest(spark, path, ["user_id"])
 
 
-@query("ST4_routing", "SELECT user_id % 4 AS lane, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
-def _(spark, d):
-    lanes = S.drained(events(spark, d).select((F.col("user_id") % 4).alias("lane"), "user_id", "event_id"))
-    return lanes.repartition("lane").groupBy("lane").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
-
-
 @query("ST6_time_range", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'")
 def _(spark, d):
     a, b = (F.lit(f"2024-01-{x}").cast("timestamp_ntz") for x in (10, 12))
     return table(spark, d, "events").where((F.col("ts") >= a) & (F.col("ts") < b)).select("event_id")
 
 
-@query("ST7_periodic_refresh")
-def _(spark, d):
-    e = table(spark, d, "events").withColumn("slot", F.date_trunc("day", "ts"))
-    w = Window.partitionBy("slot").orderBy(F.desc("value"), "event_id")
-    return e.withColumn("n", F.row_number().over(w)).where("n <= 3").select("slot", "event_id")
-
-
-@query("ST8_unit_builder")
-def _(spark, d):
-    s = S.stream_of(spark, d, "sessions").where("persona_id is not null")
-    s = s.select("persona_id", "session_id", (F.col("noise_id").isNotNull() | F.col("noise_family_id").isNotNull()).alias("is_noise"))
-    u = S.drained(S.unit_builder(s, 3), "update")
-    return u
-
-
 @query("ST9_value_state", "SELECT user_id, round(sum(0.3 * value * pow(0.7, later)), 6) AS q, count(*) AS visits FROM (SELECT user_id, value, count(*) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) - 1 AS later FROM events) GROUP BY 1")
 def _(spark, d):
     return S.drained(S.value_keeper(events(spark, d)), "update").select("user_id", F.round("q", 6).alias("q"), "visits")
 
 
-@query("ST11_tumbling")
-def _(spark, d):
-    return S.drained(S.windowed(events(spark, d), "1 day"))
-
-
 @query("ST11_tumbling_batch", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS began, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def _(spark, d):
     e = table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("began"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return e
-
-
-@query("ST11_sliding")
-def _(spark, d):
-    return S.drained(S.windowed(events(spark, d), "1 day", "6 hours"))
-
-
-@query("ST11_sessions")
-def _(spark, d):
-    return S.drained(S.user_sessions(events(spark, d), "2 hours"))

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -103,3 +103,41 @@ def kafka(spark: SparkSession, servers: str, topic: str, schema: str, per_trigge
     """Messages of a topic parsed from JSON, with their key. Needs the connector on the class path."""
     raw = spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, "maxOffsetsPerTrigger": per_trigger}).load()
     return raw.select(F.col("key").cast("string").alias("key"), F.from_json(F.col("value").cast("string"), schema).alias("v")).select("key", "v.*")
+
+
+def fair_rounds(events: DataFrame, key: str, order: str, quota: int) -> DataFrame:
+    """key, order, round: the poll in which each row is read if every poll takes at most ``quota`` rows of a key; counted on between batches."""
+    schema = events.schema
+    output = f"{key} {schema[key].dataType.simpleString()}, {order} {schema[order].dataType.simpleString()}, round long"
+
+    def run(k, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
+        n = s.get[0] if s.exists else 0
+        for rows in batches:
+            rows = rows.sort_values(order)
+            yield pd.DataFrame({key: k[0], order: rows[order], "round": (n + pd.RangeIndex(len(rows))) // quota})
+            n += len(rows)
+        s.update((n,))
+
+    return events.select(key, order).groupBy(key).applyInPandasWithState(run, output, "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def refresher(events: DataFrame, key: str, at: str, interval: int) -> DataFrame:
+    """key, last, refreshes: a refresh at a key's first row and at the first one ``interval`` seconds or more after the last refresh. ``at``: seconds."""
+
+    def step(s, r):
+        last, n = s
+        t = getattr(r, at)
+        return (t, n + 1) if n == 0 or t - last >= interval else s
+
+    return stateful(events, key, step, (0, 0), "last long, refreshes long", f"{key} long, last long, refreshes long", at)
+
+
+def reclaimable(log: DataFrame, task: str, at: str, acked: Column, idle: int) -> DataFrame:
+    """task, deliveries, idle_seconds: tasks delivered but not acknowledged since, whose last delivery is ``idle`` seconds or more before the log's end.
+
+    One aggregation with map-side combination; the end of the log is one row.
+    """
+    g = log.groupBy(task).agg(F.max(F.when(~acked, F.col(at))).alias("sent"), F.max(F.when(acked, F.col(at))).alias("done"), F.count_if(~acked).alias("deliveries"))
+    end = log.agg(F.max(at).alias("end"))
+    g = g.join(F.broadcast(end)).where(F.col("sent").isNotNull() & (F.col("done").isNull() | (F.col("sent") > F.col("done"))) & (F.col("end") - F.col("sent") >= idle))
+    return g.select(task, "deliveries", (F.col("end") - F.col("sent")).alias("idle_seconds"))
