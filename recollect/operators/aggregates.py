@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,21 +55,26 @@ def best_per_key(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFr
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(-F.col(score), F.col(tie))).alias("_b")).select(*keys, *(F.col("_b")[c].alias(c) for c in rest))
 
 
-def bootstrap(df: DataFrame, value: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
+def bootstrap(df: DataFrame, value: str, resamples: int = 10_000, seed: int = 7) -> DataFrame:
     """Percentile interval of the mean by a Poisson bootstrap.
 
-    The weight of a value in a resample is Poisson(1), found from a hash of row and resample, so no row is copied into a
-    shuffle: rows are combined map-side into one sum and count per resample.
+    k equal values weigh Poisson(k) in a resample, drawn from a generator that value and seed determine, so that a retried task draws
+    alike. Equal values are counted first; a task adds its values up into one sum and weight per resample, and only these are shuffled.
     """
-    u = (F.pmod(F.xxhash64("_row", "_b", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    weight, total, term = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(8):
-        total += term
-        weight = weight + (u > total).cast("int")
-        term /= k + 1
-    rows = df.select(F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns).alias("_row")).select("v", "_row", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b"))
-    means = rows.select("_b", "v", weight.alias("w")).groupBy("_b").agg((F.sum(F.col("v") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
-    return means.agg(_r(F.avg("m")).alias("mean"), _r(F.percentile("m", F.lit(0.025))).alias("low"), _r(F.percentile("m", F.lit(0.975))).alias("high"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k"))
+
+    def draw(batches):
+        total, weight = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            for v, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = np.random.default_rng((seed, np.float64(v).view(np.uint64).item())).poisson(k, resamples)
+                total += w * v
+                weight += w
+        if weight.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(total), pa.array(weight)], names=["b", "s", "w"])
+
+    sums = counts.mapInArrow(draw, "b long, s double, w double").groupBy("b").agg((F.sum("s") / F.greatest(F.sum("w"), F.lit(1.0))).alias("m"))
+    return sums.agg(_r(F.avg("m")).alias("mean"), _r(F.percentile("m", F.lit(0.025))).alias("low"), _r(F.percentile("m", F.lit(0.975))).alias("high"))
 
 
 def with_total(report, df: DataFrame, key: str, label: str = "overall") -> DataFrame:

@@ -51,25 +51,23 @@ def split_by(docs: DataFrame, splitter: Callable[[str], list[str]]) -> DataFrame
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, chunk int, text string")
 
 
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+SENTENCE = re.compile(r"(?:[^.!?。！？]|[.!?](?!\s|$))*(?:[.!?。！？]+\s*|$)")
 
 
-def packed(parts: list[str], limit: int, joiner: str, split_one: Callable[[str], list[str]]) -> list[str]:
-    """Parts joined greedily up to the limit; a part over the limit is split further."""
+def packed(parts: list[str], limit: int, split_one: Callable[[str], list[str]]) -> list[str]:
+    """Neighbouring parts put together greedily up to the limit; a part over the limit is split further. Blanks at the ends don't count."""
     out: list[str] = []
     now = ""
     for p in parts:
-        if len(p) > limit:
-            if now:
-                out.append(now)
-                now = ""
-            out += split_one(p)
-        elif now and len(now) + len(joiner) + len(p) > limit:
+        if len(p.strip()) > limit:
+            out += [now] + split_one(p)
+            now = ""
+        elif now and len((now + p).strip()) > limit:
             out.append(now)
             now = p
         else:
-            now = now + joiner + p if now else p
-    return out + [now] if now else out
+            now += p
+    return [c for c in map(str.strip, [*out, now]) if c]
 
 
 def by_size(text: str, limit: int) -> list[str]:
@@ -77,40 +75,46 @@ def by_size(text: str, limit: int) -> list[str]:
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in SENTENCE_END.split(text) if s.strip()]
+    """The sentences with the blanks behind them; joined they give the text."""
+    return [s for s in SENTENCE.findall(text) if s]
+
+
+def after(text: str, separator: str) -> list[str]:
+    """The text cut behind each separator; joined the parts give the text."""
+    parts = text.split(separator)
+    return [p for p in [*(x + separator for x in parts[:-1]), parts[-1]] if p]
 
 
 def sentence_packer(limit: int) -> Callable[[str], list[str]]:
-    return lambda text: packed(sentences(text), limit, " ", lambda s: by_size(s, limit))
+    return lambda text: packed(sentences(text), limit, lambda s: by_size(s, limit))
 
 
 def paragraph_packer(limit: int) -> Callable[[str], list[str]]:
-    parts = lambda text: [p.strip() for p in text.split("\n\n") if p.strip()]
-    return lambda text: packed(parts(text), limit, "\n\n", sentence_packer(limit))
+    return lambda text: packed(after(text, "\n\n"), limit, sentence_packer(limit))
 
 
 def recursive_splitter(limit: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> Callable[[str], list[str]]:
-    """Splits at the first separator present, recursively for parts over the limit; chunks overlap by whole parts."""
+    """Cuts behind the first separator present, recursively for parts over the limit; chunks overlap by whole parts and are stretches of the text."""
 
     def pieces(text: str, seps: tuple[str, ...]) -> list[str]:
-        if len(text) <= limit or not seps:
-            return [text] if len(text) <= limit else by_size(text, limit)
-        if seps[0] == "":
+        if len(text) <= limit:
+            return [text]
+        if not seps or seps[0] == "":
             return by_size(text, limit)
         if seps[0] not in text:
             return pieces(text, seps[1:])
-        return [q for p in text.split(seps[0]) if p for q in pieces(p, seps[1:])]
+        return [q for p in after(text, seps[0]) for q in pieces(p, seps[1:])]
 
     def run(text: str) -> list[str]:
         out: list[str] = []
         now: list[str] = []
         for p in pieces(text, separators):
-            if now and sum(map(len, now)) + len(now) + len(p) > limit:
-                out.append(" ".join(now))
-                while now and (sum(map(len, now)) + len(now) > overlap or sum(map(len, now)) + len(now) + len(p) > limit):
+            if now and sum(map(len, now)) + len(p) > limit:
+                out.append("".join(now))
+                while now and (sum(map(len, now)) > overlap or sum(map(len, now)) + len(p) > limit):
                     now.pop(0)
             now.append(p)
-        return out + [" ".join(now)] if now else out
+        return [c for c in [*out, "".join(now)] if c.strip()]
 
     return run
 
@@ -121,13 +125,27 @@ def header_splitter(text: str) -> list[str]:
 
 
 def lossless(limit: int) -> Callable[[str], list[str]]:
-    """Words, then sentences, then paragraphs of up to ``limit`` words; the pieces joined give the text back exactly."""
+    """Words make sentences, of up to ``limit`` words, and these paragraphs of up to as many; the pieces joined give the text back exactly.
+
+    A sentence ends with its mark, a paragraph with an empty line or where the next sentence would pass the limit.
+    """
 
     def run(text: str) -> list[str]:
-        out, now, n = [], "", 0
+        whole: list[tuple[str, int]] = []
+        now, n = "", 0
         for word in re.findall(r"\s*\S+\s*", text) or [text]:
             now, n = now + word, n + 1
-            if n >= limit or re.search(r"[.!?。！？]\s*$", word) and n >= limit // 2 or "\n\n" in word:
+            if n >= limit or re.search(r"[.;!?…。；！？][\"'”’)）]*\s*$", word) or "\n\n" in word:
+                whole.append((now, n))
+                now, n = "", 0
+        whole += [(now, n)] if now else []
+        out, now, n = [], "", 0
+        for sentence, words in whole:
+            if now and n + words > limit:
+                out.append(now)
+                now, n = "", 0
+            now, n = now + sentence, n + words
+            if "\n\n" in sentence[len(sentence.rstrip()) :]:
                 out.append(now)
                 now, n = "", 0
         return out + [now] if now else out
@@ -135,6 +153,13 @@ def lossless(limit: int) -> Callable[[str], list[str]]:
     return run
 
 
+def characters(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """doc_id, chunk, text: windows of ``size`` characters that share ``overlap``; without UDF."""
+    step = size - overlap
+    n = F.when(F.length("text") <= size, 1).otherwise(F.ceil((F.length("text") - size) / step) + 1).cast("int")
+    t = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    return t.select("doc_id", "chunk", F.substring(F.col("text"), F.col("chunk") * step + 1, F.lit(size)).alias("text"))
+
 
 def semantic_splitter(limit: int) -> Callable[[str], list[str]]:
     """Code blocks, lists and stack traces stay whole; the prose between them is packed by sentences."""

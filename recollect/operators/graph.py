@@ -10,7 +10,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.runtime import materialize
+from recollect.runtime import discard, materialize
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def neighbours(edges: DataFrame, nodes: DataFrame, direction: str = "both") -> D
 
 def k_hop(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """start, node, hop: nodes within ``hops`` steps along the edges, with the least number of steps; the start has 0."""
-    e = edges.select("src", "dst").distinct()
+    e = materialize(edges.select("src", "dst").distinct(), "edges")
     seen = materialize(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hop", F.lit(0)), "hops")
     front = seen
     for hop in range(1, hops + 1):
@@ -43,7 +43,7 @@ def k_hop(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 
 def paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """start, node, path (array): simple paths of one to ``depth`` edges; a node comes up once in a path."""
-    e = edges.select("src", "dst").distinct()
+    e = materialize(edges.select("src", "dst").distinct(), "edges")
     front = starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct()
     out = None
     for _ in range(depth):
@@ -54,22 +54,28 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component: the least node that can be reached, by least labels with pointer jumping."""
-    both = undirected(edges)
+    """node, component: the least node that can be reached, by least labels with pointer jumping.
+
+    The edges are put in both directions once; a round joins the labels with them once, and the labels of the round before are deleted.
+    """
+    both = materialize(undirected(edges), "edges")
     label = materialize(nodes.select("node").distinct().withColumn("component", F.col("node")), "components")
     while True:
-        near = both.join(label, both.src == label.node).groupBy("dst").agg(F.min("component").alias("near"))
-        best = label.join(near, label.node == near.dst, "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("best"))
+        # a node's own label and those of its neighbours are one union, so one aggregation finds the least
+        near = both.join(label.select(F.col("node").alias("src"), "component"), "src").select(F.col("dst").alias("node"), F.lit(None).cast(label.schema["component"].dataType).alias("old"), "component")
+        best = near.union(label.select("node", "component", "component")).groupBy("node").agg(F.max("old").alias("old"), F.min("component").alias("best")).where("old is not null")
         jump = label.select(F.col("node").alias("best"), F.col("component").alias("far"))
         step = materialize(best.join(jump, "best", "left").select("node", "old", F.least("best", F.coalesce("far", "best")).alias("component")), "components")
+        discard(label)
         label = step.select("node", "component")
         if step.where("old <> component").isEmpty():
+            discard(both)
             return label
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, personal: DataFrame | None = None) -> DataFrame:
     """node, rank by the power method; dangling mass returns to the start vector, which ``personal`` (node, weight) may give."""
-    e = edges.select("src", "dst").distinct()
+    e = materialize(edges.select("src", "dst").distinct(), "edges")
     n = nodes.select("node").distinct()
     if personal is None:
         start = n.withColumn("weight", F.lit(1.0))
@@ -83,7 +89,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("rank"))), F.lit(0.0)).alias("lost"))  # one row
         sent = rank.join(e, rank.node == e.src).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         rank = rank.join(sent, rank.node == sent.dst, "left").join(F.broadcast(lost)).select("node", "start", "degree", ((1 - damping) * F.col("start") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("start"))).alias("rank"))
-        rank = materialize(rank, "rank")  # it is read three times in the next round
+        last, rank = base, materialize(rank, "rank")  # it is read three times in the next round
+        discard(last)
+        base = rank
     return rank.select("node", "rank")
 
 
@@ -149,32 +157,38 @@ def recursive_clusters(vectors: DataFrame, most: int = 60, least: int = 10, bran
     Each level seeds ``branches`` centres per large cluster by the order of a hash and takes three rounds of assignment and
     averaging as joins and aggregations, so the number of clusters doesn't matter to the plan. Clusters under ``least``
     keep together with what they came from. Levels go on until no cluster is over ``most``; a part with over 95 % of what it
-    came from is cut by the order of ids instead, so that every level makes headway.
+    came from is cut by a hash of ids instead, so that every level makes headway. No group is gathered in a task.
     """
 
 
     from recollect.functions.vectors import dot
 
-    state = vectors.select("vec_id", "v", F.lit("0").alias("cluster"))
+    state = materialize(vectors.select("vec_id", "v", F.lit("0").alias("cluster")), "clusters")
     for level in count():
-        w = Window.partitionBy("cluster")
-        state = materialize(state.withColumn("size", F.count("*").over(w)), "clusters")
-        large = state.where(F.col("size") > most)
+        sizes = state.groupBy("cluster").agg(F.count("*").alias("size"))
+        sized = state.join(sizes.where(F.col("size") > most), "cluster", "left")
+        large = materialize(sized.where("size is not null"), "large")
         if large.isEmpty():
             break
-        seeds = large.withColumn("c", F.row_number().over(w.orderBy(F.xxhash64("vec_id", F.lit(seed + level)), "vec_id"))).where(F.col("c") <= branches).select("cluster", "c", F.col("v").alias("centre"))
+        draw = F.xxhash64("vec_id", F.lit(seed + level))
+        # each row stands for one of the branches, by its hash; the least hash of a branch gives its first centre
+        first = large.groupBy("cluster", F.pmod(F.xxhash64("vec_id", F.lit(seed - 1 - level)), F.lit(branches)).cast("int").alias("c")).agg(F.min_by("v", F.struct(draw, "vec_id")).alias("centre"))
         near = None
-        for _ in range(3):
-            d = large.join(seeds, "cluster").select("cluster", "vec_id", "v", "c", (dot(F.col("centre"), F.col("centre")) - 2 * dot(F.col("v"), F.col("centre"))).alias("d"))
-            near = d.groupBy("cluster", "vec_id").agg(F.min_by(F.struct("c", "v"), F.struct("d", "c")).alias("x")).select("cluster", "vec_id", "x.c", "x.v")
-            sums = near.select("cluster", "c", F.posexplode("v").alias("i", "x")).groupBy("cluster", "c", "i").agg(F.avg("x").alias("x"))
-            seeds = materialize(sums.groupBy("cluster", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("centre")), "centres")
-        sized = near.withColumn("k", F.count("*").over(Window.partitionBy("cluster", "c")))
-        sized = sized.withColumn("size", F.count("*").over(w)).withColumn("n", F.row_number().over(Window.partitionBy("cluster", "c").orderBy("vec_id")) - 1)
+        for turn in range(3):
+            # at most ``branches`` centres of a cluster form one row, so that a vector finds its nearest without a shuffle of its own
+            centres = materialize(first.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("c", "centre"))).alias("centres")), "centres")
+            away = F.transform("centres", lambda s: F.struct((dot(s.centre, s.centre) - 2 * dot(F.col("v"), s.centre)).alias("d"), s.c.alias("c")))
+            near = large.join(centres, "cluster").select("cluster", "size", "vec_id", "v", F.array_min(away).getField("c").alias("c"))
+            if turn < 2:
+                sums = near.select("cluster", "c", F.posexplode("v").alias("i", "x")).groupBy("cluster", "c", "i").agg(F.avg("x").alias("x"))
+                first = sums.groupBy("cluster", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("centre"))  # one vector
+        near = materialize(near, "near")
+        parts = near.groupBy("cluster", "c").agg(F.count("*").alias("k"))
+        split = near.join(parts, ["cluster", "c"])
         stuck = (F.col("k") > most) & (F.col("k") > 0.95 * F.col("size"))
-        piece = F.when(stuck, F.floor(F.col("n") * F.ceil(F.col("k") / most) / F.col("k")).cast("string"))  # null is left out of the name
-        split = sized.select("vec_id", "v", F.concat_ws(".", "cluster", F.when(F.col("k") >= least, F.col("c").cast("string")).otherwise("r"), piece).alias("cluster"))
-        state = state.where(F.col("size") <= most).select("vec_id", "v", "cluster").unionByName(split)
+        piece = F.when(stuck, F.pmod(draw, F.ceil(F.col("k") * 1.5 / most)).cast("string"))  # null is left out of the name
+        split = split.select("vec_id", "v", F.concat_ws(".", "cluster", F.when(F.col("k") >= least, F.col("c").cast("string")).otherwise("r"), piece).alias("cluster"))
+        state = materialize(sized.where("size is null").select("vec_id", "v", "cluster").unionByName(split), "clusters")
     return state.select("vec_id", "cluster")
 
 

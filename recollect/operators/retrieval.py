@@ -164,6 +164,27 @@ def minmax(df: DataFrame, by: str, value: str, name: str, slack: float = 1e-6) -
     return df.withColumn(name, (F.col(value) - F.min(value).over(w)) / (F.max(value).over(w) - F.min(value).over(w) + slack))
 
 
+def scaled(df: DataFrame, by: str, value: str, name: str, slack: float = 1e-6) -> DataFrame:
+    """``minmax`` where a group may hold a third of all rows: bounds by a combined aggregation, joined back, so that no group is one task."""
+    bounds = df.groupBy(by).agg(F.min(value).alias("_low"), F.max(value).alias("_high")).withColumnRenamed(by, "_by")
+    return df.join(bounds, df[by].eqNullSafe(F.col("_by"))).withColumn(name, (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low") + slack)).drop("_low", "_high", "_by")
+
+
+def ranked(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
+    """Adds the running number of each row within its group, for groups of any size.
+
+    Rows are put in order over all tasks by range; a row's number is its number within its task and group plus the rows of the group
+    in earlier tasks, which one row per task and group tells.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = materialize(df.repartitionByRange(tasks, F.col(by), *order).withColumn("_task", F.spark_partition_id()), "ranked")
+    counts = part.groupBy("_task", by).agg(F.count("*").alias("_rows"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(F.col("_task").alias("_t"), F.col(by).alias("_b"), "_before")
+    own = F.row_number().over(Window.partitionBy("_task", by).orderBy(*order))
+    return part.withColumn("_own", own).join(before, (F.col("_task") == F.col("_t")) & F.col(by).eqNullSafe(F.col("_b"))).withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_own", "_before", "_task", "_t", "_b")
+
+
 def hybrid(lexical: DataFrame, semantic: DataFrame, alpha: float, k: int) -> DataFrame:
     """alpha * normalized lexical + (1 - alpha) * semantic score, over documents found by either; a missing score is 0."""
     lex = minmax(lexical, "query_id", "score", "lex").select("query_id", "doc_id", "lex")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recollect.operators import curation as C
+from recollect.operators.retrieval import ranked
 from recollect.plans.registry import key_points, nodes, query, results, sessions, turns
 from recollect.runtime import table
 
@@ -203,7 +204,7 @@ def _(spark, d):
 
 @query("W4_rank", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events")
 def _(spark, d):
-    return table(spark, d, "events").select("event_type", "event_id", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")).alias("rank"))
+    return ranked(table(spark, d, "events").select("event_type", "event_id", "value"), "event_type", [F.desc("value"), F.col("event_id")], "rank").select("event_type", "event_id", "rank")
 
 
 @query("W5_conversation_offsets", "SELECT session_id, turn, role, CAST(sum(length(coalesce(content, ''))) OVER (PARTITION BY session_id ORDER BY turn, role, content NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM turns", uses="turns")

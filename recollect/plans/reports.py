@@ -122,7 +122,7 @@ def _(spark, d):
 
 @query("A20_bootstrap")
 def _(spark, d):
-    return A.bootstrap(results(spark, d).select("query_id", F.col("is_correct").cast("double").alias("score")), "score", 200)
+    return A.bootstrap(results(spark, d).select("query_id", F.col("is_correct").cast("double").alias("score")), "score")
 
 
 @query("A21_keyword_counts", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(content), '[a-z]{4,}')) AS word FROM turns) GROUP BY 1", uses="turns")

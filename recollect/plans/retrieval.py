@@ -9,6 +9,7 @@ from recollect.functions import text as T
 from recollect.functions import vectors as V
 from recollect.operators import chunking as C
 from recollect.operators import retrieval as R
+from recollect.operators.curation import drawn
 from recollect.plans.registry import key_points, query, results, sessions, vectors
 from recollect.runtime import spread, table
 
@@ -124,8 +125,12 @@ def _(spark, d):
 
 @query("R16_key_dedup", f"SELECT query_id, CASE WHEN s >= 0.5 THEN 'append' ELSE 'new' END AS action FROM (SELECT query_id, max(score) AS s FROM (WITH {NEAR} SELECT * FROM near WHERE vec_id < query_id) GROUP BY 1)", uses="vecs")
 def _(spark, d):
-    n = near(spark, d, None, threshold=-2.0).where("vec_id < query_id")
-    return n.groupBy("query_id").agg(F.max("score").alias("s")).select("query_id", F.when(F.col("s") >= 0.5, "append").otherwise("new").alias("action"))
+    # only pairs over the threshold leave a task; a key without one is new, the first of all keys is compared with none
+    v = vectors(spark, d)
+    known = near(spark, d, None, threshold=0.5).where("vec_id < query_id").select("query_id").distinct().withColumn("action", F.lit("append"))
+    first = v.agg(F.min("vec_id").alias("first"))  # one row
+    keys = v.where("vec_id % 50 = 0").join(F.broadcast(first)).where("vec_id > first").select(F.col("vec_id").alias("query_id")).distinct()
+    return keys.join(known, "query_id", "left").select("query_id", F.coalesce("action", F.lit("new")).alias("action"))
 
 
 @query("R16_key_dedup_all", "SELECT b.vec_id AS query_id, CASE WHEN max(round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9)) >= 0.5 THEN 'append' ELSE 'new' END AS action FROM vecs b LEFT JOIN vecs a ON a.vec_id < b.vec_id GROUP BY 1", uses="vecs")
@@ -137,7 +142,7 @@ def _(spark, d):
 
 @query("W13_minmax", "SELECT event_id, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 0.000001), 6) AS scaled FROM events WINDOW w AS (PARTITION BY event_type)")
 def _(spark, d):
-    return R.minmax(table(spark, d, "events"), "event_type", "value", "s").select("event_id", F.round("s", 6).alias("scaled"))
+    return R.scaled(table(spark, d, "events"), "event_type", "value", "s").select("event_id", F.round("s", 6).alias("scaled"))
 
 
 @query("W12_zscore", "SELECT event_id, round(CASE WHEN sd <= 1e-9 THEN 1.0 ELSE greatest(least((value - m) / sd, 3), -3) END, 6) AS z FROM (SELECT event_id, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd FROM events WINDOW w AS (PARTITION BY user_id))")
@@ -231,11 +236,14 @@ def _(spark, d):
     return table(spark, d, "events").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("event_type", "event_id")
 
 
-@query("T13_epsilon_greedy")
+DRAWN = "('0x' || md5({x} || ':42')[1:8])::BIGINT"
+
+
+@query("T13_epsilon_greedy", f"SELECT user_id, event_id, explored FROM (SELECT user_id, event_id, explored, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN explored THEN {DRAWN.format(x='event_id')}::DOUBLE ELSE -value END, event_id) AS n FROM (SELECT *, {DRAWN.format(x='user_id')} % 100 < 10 AS explored FROM events)) WHERE n <= 3")
 def _(spark, d):
     e = table(spark, d, "events")
-    explore = F.pmod(F.xxhash64("user_id", F.lit(42)), F.lit(100)) < 10
-    w = Window.partitionBy("user_id").orderBy(F.when(explore, F.pmod(F.xxhash64("event_id", F.lit(42)), F.lit(1 << 30)).cast("double")).otherwise(-F.col("value")), "event_id")
+    explore = drawn(F.col("user_id"), "42") % 100 < 10
+    w = Window.partitionBy("user_id").orderBy(F.when(explore, drawn(F.col("event_id"), "42").cast("double")).otherwise(-F.col("value")), "event_id")
     return e.withColumn("n", F.row_number().over(w)).where("n <= 3").select("user_id", "event_id", explore.alias("explored"))
 
 
@@ -257,9 +265,9 @@ def _(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct((F.col("event_type") != "purchase").cast("int"), -F.col("value"), "event_id")).alias("event_id"))
 
 
-@query("T18_random_sample")
+@query("T18_random_sample", f"SELECT event_id FROM events ORDER BY {DRAWN.format(x='event_id')}, event_id LIMIT 50")
 def _(spark, d):
-    return table(spark, d, "events").orderBy(F.xxhash64("event_id", F.lit(42)), "event_id").limit(50).select("event_id")
+    return table(spark, d, "events").orderBy(drawn(F.col("event_id"), "42"), "event_id").limit(50).select("event_id")
 
 
 WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\p{Z}\\x{0b}\\x{85}]+'), lambda w: w <> '')"
@@ -297,6 +305,11 @@ for name, splitter in {
     query(name)(lambda spark, d, s=splitter: C.split_by(docs(spark, d), s))
 
 
+@query("C9_characters", "SELECT doc_id, CAST(k AS INT) AS chunk, text[k * 180 + 1 : k * 180 + 200] AS text FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 200 THEN 1 ELSE CAST(ceil((length(text) - 200) / 180.0) AS BIGINT) + 1 END)) AS k FROM documents WHERE length(text) > 0)")
+def _(spark, d):
+    return C.characters(docs(spark, d), 200, 20)
+
+
 @query("C11_context_packing", f"WITH {ASKED}, {bm25_sql('documents', 'asked')}, h AS (SELECT query_id, doc_id, rank, length(text) // 4 AS tk FROM rk JOIN documents USING (doc_id) WHERE rank <= 10 AND score > 0), b AS (SELECT *, coalesce(sum(tk + 10) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h), u AS (SELECT *, CASE WHEN before + tk + 10 <= 1000 THEN tk WHEN 1000 - before - 10 > 100 THEN 1000 - before - 10 ELSE 0 END AS used FROM b) SELECT query_id, doc_id, rank, CAST(used AS BIGINT) AS used FROM u WHERE used > 0")
 def _(spark, d):
     h = _bm25(spark, d, 10).join(docs(spark, d), "doc_id").select("query_id", "doc_id", "rank", F.floor(F.length("text") / 4).alias("tokens"))
