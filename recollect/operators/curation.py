@@ -115,13 +115,13 @@ def interleaved(originals: DataFrame, noise: DataFrame, key: str, order: str, se
     the places are sorted, so that the noise rows keep their order. Keys without originals get none.
     """
     w = Window.partitionBy(key)
-    sizes = originals.groupBy(key).agg(F.count("*").alias("N"))
-    n = noise.select(key, order).withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("M", F.count("*").over(w)).join(sizes, key)
+    sizes = originals.groupBy(key).agg(F.count("*").alias("_all"))
+    n = noise.select(key, order).withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_noise", F.count("*").over(w)).join(sizes, key)
     share, ends = F.lit(len(NOISE_WEIGHTS) - 1), F.lit(0)
     for k, weight in enumerate(NOISE_WEIGHTS[:-1]):
-        ends = ends + F.floor(F.col("M") * weight / sum(NOISE_WEIGHTS))
+        ends = ends + F.floor(F.col("_noise") * weight / sum(NOISE_WEIGHTS))
         share = F.least(share, F.when(F.col("i") < ends, k).otherwise(len(NOISE_WEIGHTS) - 1))
-    bound = F.greatest(F.lit(1), F.floor(F.col("N") * (share + 1) / len(NOISE_WEIGHTS)))
+    bound = F.greatest(F.lit(1), F.floor(F.col("_all") * (share + 1) / len(NOISE_WEIGHTS)))
     places = n.withColumn("place", drawn(F.col(key), F.col("i"), seed) % (bound + 1)).withColumn("r", F.row_number().over(w.orderBy("place", "i")) - 1).select(key, "place", F.col("r").alias("i"))
     placed = n.select(key, order, "i").join(places, [key, "i"]).withColumn("kind", F.lit(0))
     both = originals.select(key, order, F.col("at").alias("place"), F.col("at").alias("i"), F.lit(1).alias("kind")).unionByName(placed.select(key, order, F.col("place").cast("int").alias("place"), "i", "kind"))
@@ -154,9 +154,9 @@ def traps_inserted(originals: DataFrame, traps: DataFrame, key: str) -> DataFram
     """
     w = Window.partitionBy(key)
     o = originals.withColumn("place", (F.row_number().over(w.orderBy("event_date", "event_id")) - 1).cast("long")).withColumn("kind", F.lit(1))
-    phase = originals.groupBy(key).agg(F.to_date(F.min("event_date")).alias("a"), F.to_date(F.max("event_date")).alias("b"), F.count("*").alias("N"))
+    phase = originals.groupBy(key).agg(F.to_date(F.min("event_date")).alias("a"), F.to_date(F.max("event_date")).alias("b"), F.count("*").alias("_all"))
     t = traps.join(phase, key).select(
-        key, "event_id", F.date_add("a", (drawn(F.col("event_id"), "date") % (F.date_diff("b", "a") + 1)).cast("int")).cast("string").alias("event_date"), (drawn(F.col("event_id"), "place") % (F.col("N") + 1)).alias("place"), F.lit(0).alias("kind")
+        key, "event_id", F.date_add("a", (drawn(F.col("event_id"), "date") % (F.date_diff("b", "a") + 1)).cast("int")).cast("string").alias("event_date"), (drawn(F.col("event_id"), "place") % (F.col("_all") + 1)).alias("place"), F.lit(0).alias("kind")
     )
     both = o.select(key, "event_id", "event_date", "place", "kind").unionByName(t)
     return both.select(key, "event_id", "event_date", (F.col("kind") == 0).alias("is_trap"), (F.row_number().over(w.orderBy("place", "kind", "event_id")) - 1).alias("position"))
