@@ -262,7 +262,7 @@ def _(spark, d):
 
 @query(
     "A25_error_types",
-    """
+    r"""
     SELECT kind, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM (
         SELECT CASE WHEN v AND NOT a AND h THEN 'Preference-Unaware Violation' WHEN v AND a AND x AND h THEN 'Preference Hallucination Violation' WHEN v AND a AND NOT x AND h THEN 'Inconsistency Violation'
             WHEN NOT v AND NOT h THEN 'Unhelpful Response' ELSE 'Personalized Response' END AS kind
