@@ -135,7 +135,7 @@ def _(spark, d):
     return G.recursive_clusters(vectors(spark, d))
 
 
-@query("R27_triangles")
+@query("R27_triangles", wrap(f"{E}, {B}", "SELECT p.src AS node, count(*) AS triangles FROM b p JOIN b q ON p.src = q.src AND p.dst < q.dst JOIN b r ON r.src = p.dst AND r.dst = q.dst GROUP BY 1"), uses="nodes")
 def _(spark, d):
     _, e = graph(spark, d)
     return G.triangles(e)
