@@ -56,7 +56,7 @@ def test_best_by_blocks_equals_brute_force(spark, monkeypatch, small):
 
 
 # each of these once joined all postings with the queries' words, a row for every pair that shares one
-@pytest.mark.parametrize("name", ["R1_bm25", "C11_context_packing", "Q20_corpus_order", "R4_unique_terms"])
+@pytest.mark.parametrize("name", ["R1_bm25", "C11_context_packing", "Q20_corpus_order", "R4_unique_terms", "T1_bm25_topk"])
 def test_no_search_reads_the_postings_of_all_documents(spark, monkeypatch, name):
     of = R.Index.postings
     monkeypatch.setattr(R, "_INDEXES", {})
