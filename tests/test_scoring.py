@@ -56,9 +56,39 @@ def test_best_by_blocks_equals_brute_force(spark, monkeypatch, small):
 
 
 # each of these once joined all postings with the queries' words, a row for every pair that shares one
-@pytest.mark.parametrize("name", ["R1_bm25", "C11_context_packing", "Q20_corpus_order", "R4_unique_terms", "T1_bm25_topk"])
+@pytest.mark.parametrize("name", ["R1_bm25", "C11_context_packing", "Q20_corpus_order", "R4_unique_terms", "T1_bm25_topk", "Q4_hybrid_recall", "R21_relation_search"])
 def test_no_search_reads_the_postings_of_all_documents(spark, monkeypatch, name):
     of = R.Index.postings
     monkeypatch.setattr(R, "_INDEXES", {})
     monkeypatch.setattr(R.Index, "postings", lambda self, docs=None: of(self, docs) if docs is not None else pytest.fail("postings of all documents"))
     assert QUERIES[name](spark, DATA).count()
+
+
+def test_full_text_joins_no_words(spark):
+    plan = QUERIES["R8_full_text"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_word_search_writes_no_row_per_query_and_document(spark, monkeypatch):
+    """Both modes against loops, by small blocks; a word begins others, and the heaviest field counts."""
+    written, write = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name: written.append(name) or write(df, name))
+    for name, value in (("QUERIES", 3), ("DOCS", 4)):
+        monkeypatch.setattr(scoring, name, value)
+    rng = random.Random(5)
+    vocabulary = ["sleep", "sleepy", "slept", "sle", "pain", "painful", "pa", "knee", "back"]
+    fields = [(f"d{i:02}", " ".join(rng.sample(vocabulary, rng.randint(1, 3))), w) for i in range(25) for w in (1.0, 0.4)]
+    queries = [(q, " ".join(rng.sample(vocabulary, rng.randint(1, 3)))) for q in range(12)]
+    expected = []
+    for q, text in queries:
+        s, found = {}, {}
+        for d in sorted({d for d, *_ in fields}):
+            own = [max([w for x, t, w in fields if x == d and any(v == word or len(word) >= 3 and v.startswith(word) for v in t.split())], default=0) for word in text.split()]
+            if any(own):
+                s[d], found[d] = round(sum(own) / (sum(own) + 1), 6), all(own)
+        whole = sum(found.values()) >= 4
+        best = sorted((-x, d) for d, x in s.items() if found[d] or not whole)[:4]
+        expected += [(q, d, -x, "and" if whole else "or") for x, d in best]
+    got = R.word_search(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(fields, "doc_id string, text string, weight double"), T.mixed_tokens, 4)
+    assert sorted((r["query_id"], r["doc_id"], round(r["score"], 6), r["mode"]) for r in got.collect()) == sorted(expected)
+    assert {m for *_, m in expected} == {"and", "or"} and "hits" not in written
