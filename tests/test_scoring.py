@@ -92,3 +92,17 @@ def test_word_search_writes_no_row_per_query_and_document(spark, monkeypatch):
     got = R.word_search(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(fields, "doc_id string, text string, weight double"), T.mixed_tokens, 4)
     assert sorted((r["query_id"], r["doc_id"], round(r["score"], 6), r["mode"]) for r in got.collect()) == sorted(expected)
     assert {m for *_, m in expected} == {"and", "or"} and "hits" not in written
+
+
+def test_word_search_scores_a_set_of_words_once(spark, monkeypatch):
+    """Queries that ask for the same words, in any order, share one search, and its one pass serves both modes."""
+    seen, best = [], R.best_by_terms
+    monkeypatch.setattr(R, "best_by_terms", lambda terms, *a, **k: seen.append(terms.select("query_id").distinct().count()) or best(terms, *a, **k))
+    fields = spark.createDataFrame([(f"d{i}", "knee pain" if i < 3 else "back pain", 1.0) for i in range(6)], "doc_id string, text string, weight double")
+    queries = spark.createDataFrame([(q, "pain knee" if q % 2 else "knee pain") for q in range(20)] + [(20, "back knee")], "query_id long, text string")
+    got = {}
+    for r in R.word_search(queries, fields, T.mixed_tokens, 3).collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["mode"], round(r["score"], 6)))
+    assert seen == [2]
+    assert all(sorted(got[q]) == [(f"d{i}", "and", 0.666667) for i in range(3)] for q in range(20))
+    assert sorted(got[20]) == [(f"d{i}", "or", 0.5) for i in range(3)]
