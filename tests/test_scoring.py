@@ -106,3 +106,10 @@ def test_word_search_scores_a_set_of_words_once(spark, monkeypatch):
     assert seen == [2]
     assert all(sorted(got[q]) == [(f"d{i}", "and", 0.666667) for i in range(3)] for q in range(20))
     assert sorted(got[20]) == [(f"d{i}", "or", 0.5) for i in range(3)]
+
+
+@pytest.mark.parametrize("name", ["Q1_rank_fusion", "R3_hybrid"])
+def test_no_fusion_reads_the_postings_of_all_documents(spark, monkeypatch, name):
+    monkeypatch.setattr(R, "_INDEXES", {})
+    monkeypatch.setattr(R.Index, "postings", lambda *_: pytest.fail("postings of all documents"))
+    assert QUERIES[name](spark, DATA).count()
