@@ -1,4 +1,4 @@
-"""Small numpy models shared by the classifiers. They are fitted on the driver, on samples of a stated bound."""
+"""Small numpy models shared by the classifiers: fitted on the driver on samples of a stated bound, or in tasks on parts of all examples."""
 
 from __future__ import annotations
 
@@ -32,13 +32,17 @@ def logistic_fit(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: in
     n = len(y)
     weight = np.ones(n) if weight is None else weight
     used, at = np.unique(columns, return_inverse=True)
-    row_weight = weight[rows]
-    step = 1 / (np.bincount(rows, minlength=n).max() * (0.25 * np.bincount(at, row_weight, len(used)) + ridge))
-    w = np.zeros(len(used))
+    step = 1 / (np.bincount(rows, minlength=n).max() * (0.25 * np.bincount(at, weight[rows], len(used)) + ridge))
+    order = np.argsort(rows, kind="stable")
+    by_row, (present, row_starts) = at[order], np.unique(rows[order], return_index=True)
+    order = np.argsort(at, kind="stable")
+    by_column, column_starts = rows[order], np.searchsorted(at[order], np.arange(len(used)))
+    score, w, buffer = np.zeros(n), np.zeros(len(used)), np.zeros(len(at))
     ahead, t = w, 1.0
     for _ in range(rounds):
-        err = (1 / (1 + np.exp(-np.clip(np.bincount(rows, ahead[at], n), -30, 30))) - y) * weight
-        g = np.bincount(at, err[rows], len(used)) + ridge * ahead
+        score[present] = np.add.reduceat(ahead.take(by_row, out=buffer, mode="clip"), row_starts)
+        err = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y) * weight
+        g = np.add.reduceat(err.take(by_column, out=buffer, mode="clip"), column_starts) + ridge * ahead
         new = ahead - step * g
         following = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead = new + (t - 1) / following * (new - w)

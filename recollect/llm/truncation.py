@@ -5,12 +5,14 @@
    character); some are made to end at a limit. These are positives, the texts as they stand negatives; texts at their
    source's limit take no part.
 3. A logistic regression on hashed features of the closing characters, words, punctuation and the distance to the limit is
-   fitted on about ``MOST_FIT`` texts, chosen by a hash, and scores every record.
-4. A fifth of these texts and their cuts are held out from a first fit (the one that scores the records takes all). The threshold lets all but a hundredth of these cuts pass
-   (``threshold_of``); ``holdout`` reports how many of them lie above it.
+   fitted on all texts and scores every record: the texts are dealt by a hash into parts of about ``PART``, each part is
+   fitted in a task, and the weights are the mean of the parts' weights. So no text is left out, and log-odds mean the same
+   for tables of any size.
+4. A fifth of the texts and their cuts (a fifth of the parts or, with less than five, of each) are held out from a
+   first fit (the one that scores the records takes all). The threshold lets all but a hundredth of these cuts pass (``threshold_of``); ``holdout`` reports how many of them lie above it.
 
 Lengths and sentence counts are those of whole texts, cuts fall anywhere in them, and the lexicon (part of the fit) is
-counted on whole texts of the sample, in Spark; only the tails of the examples reach the driver. Nulls, blanks and texts
+counted on all whole texts, in Spark, and taken per ``PART`` texts where there are more. Nulls, blanks and texts
 without a letter or digit are no case. Repeated rows of a key and text count once. A null source has no limit. Where there
 are no examples of both kinds nothing is learnt, and only a text that fills its source's field without a full stop is
 called truncated. An empty table: no rows.
@@ -19,19 +21,25 @@ called truncated. An empty table: no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from recollect.llm.fitting import logistic_fit, logistic_scores
-from recollect.llm.words import HAN, sampled, slices
-from recollect.runtime import materialize
+from recollect.llm.words import HAN, U, mix, slices
+from recollect.runtime import discard, materialize
 
-MOST_FIT = 12_000
+#: Texts of a part that is fitted by itself.
+PART = 12_000
 WIDTH = 1 << 18
+MIXED = mix(np.arange(1, WIDTH + 2, dtype=U))
 TAIL = 90
 #: Shorter fields than this aren't told from short texts.
 SHORTEST = 20
@@ -43,6 +51,7 @@ END = "。.!?！？"
 MARK = re.compile(r"(?:\.{3}|…+|�+|\\u?[0-9a-fA-F]{0,3}|&#?\w{0,6}|</?\w{0,6})$")
 PIECE = re.compile(rf"[{HAN}]|[^\W\d_{HAN}]+|\d+|[^\w\s]|_")
 HAS = re.compile(rf"[{HAN}]")
+STOP = re.compile(rf"[{END}\n](?=\D|$)")
 
 
 def source_key(source: Column) -> Column:
@@ -68,6 +77,7 @@ def limits(df: DataFrame, by: list[str], length: str = "len") -> DataFrame:
     return spikes.groupBy(*by).agg(F.max_by("at", "pile").alias("field_limit"))
 
 
+@cache
 def kind(c: str) -> str:
     if c in END:
         return "E"
@@ -84,32 +94,82 @@ def kind(c: str) -> str:
     return "-" if c in "-–—/|~+=_&(（[【{" else " " if c.isspace() else "o" if ord(c) < 0x2600 else "e"
 
 
-def masked(parts: list[str]) -> list[str]:
-    """Pieces with digits, and capital letters of codes, made alike."""
-    return ["9" * min(len(x), 5) if x[0].isdigit() else "AA" if len(x) == 2 and x.isupper() else x.lower() for x in parts]
+@cache
+def is_han(c: str) -> bool:
+    return HAS.match(c) is not None
+
+
+class Masks(dict):
+    """Piece -> the piece with digits, and capital letters of codes, made alike. Emptied when it grows beyond 100,000 entries."""
+
+    def __missing__(self, x: str) -> str:
+        if len(self) >= 100_000:
+            self.clear()
+        value = self[x] = "9" * min(len(x), 5) if x[0].isdigit() else "AA" if len(x) == 2 and x.isupper() else x.lower()
+        return value
+
+
+MASKS = Masks()
 
 
 def units(parts: list[str]) -> list[str]:
     """For each piece the word or, for a Han character, it and the one before."""
-    return [a + b if HAS.match(b) and HAS.match(a) else b for a, b in zip(["", *parts], parts)]
+    han = [is_han(x[0]) for x in parts]
+    return [a + b if f and g else b for a, b, f, g in zip(["", *parts], parts, [False, *han], han)]
 
 
 def lexicon(batches):
-    """(word, seen, stops): how often each word (for Chinese, pair of characters) stands inside a text, and how often before punctuation."""
+    """(word, seen, stops): how often each word (for Chinese, pair of characters; hashed) stands inside a text, and how often before punctuation."""
     for batch in batches:
         for _, texts in slices(batch, "_text"):
-            count: dict[str, list[int]] = {}
+            seen, stops = Counter(), Counter()
             for t in texts:
                 parts = PIECE.findall(t.lower())
-                for w, after in zip(units(parts), parts[1:]):
-                    if w[0].isalpha():
-                        c = count.setdefault(w, [0, 0])
-                        c[0] += 1
-                        c[1] += not after[0].isalnum()
-            yield pa.RecordBatch.from_arrays([pa.array([*count], pa.string()), *(pa.array([c[i] for c in count.values()], pa.int64()) for i in (0, 1))], names=["word", "seen", "stops"])
+                of = units(parts) if HAS.search(t) else parts
+                seen.update(of[:-1])
+                stops.update([w for w, after in zip(of, parts[1:]) if not after[0].isalnum()])
+            count = [w for w in seen if w[0].isalpha()]
+            columns = [pa.array([word_hash(w) for w in count], pa.int64()), pa.array([seen[w] for w in count], pa.int64()), pa.array([stops[w] for w in count], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "seen", "stops"])
+
+
+def word_hash(word: str) -> int:
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
+class Lexicon:
+    """How often a word stands inside texts (0 never, 1 to 3), and how often of that before punctuation (0 never, 1 to 5): 9 bytes a word."""
+
+    def __init__(self, words: np.ndarray, codes: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.codes, self.known = words[order], codes[order], {}
+
+    def __reduce__(self):
+        return Lexicon, (self.words, self.codes)
 
+    def __getitem__(self, word: str) -> str:
+        out = self.known.get(word)
+        if out is None:
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            h = word_hash(word)
+            at = int(np.searchsorted(self.words, h))
+            code = int(self.codes[at]) if at < len(self.words) and self.words[at] == h else 0
+            out = self.known[word] = f"{code // 10}p{code % 10}"
+        return out
 
-def closing(tail: str, length: int, field_limit: int | None, known: dict[str, tuple[int, int]]) -> list[str]:
+
+def lexicon_of(texts: DataFrame, scale: float) -> Lexicon:
+    """Of the words of all ``texts`` (_text); how often they are seen is multiplied by ``scale``. Less than a half is never, so that it doesn't grow with the texts."""
+    count = texts.select("_text").mapInArrow(lexicon, "word long, seen long, stops long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("stops").alias("stops"))
+    often = F.when(F.col("seen") * scale < 3, 1).when(F.col("seen") * scale < 30, 2).otherwise(3)
+    share = 1 + sum((F.col("stops") >= x * F.col("seen")).cast("int") for x in (0.02, 0.1, 0.3, 0.6))
+    t = count.where(F.col("seen") * scale >= 0.5).select("word", (10 * often + F.when(F.col("stops") > 0, share).otherwise(0)).cast("byte").alias("code")).toArrow()  # 9 bytes a word, of at most twice as many words as a part has
+    return Lexicon(t.column(0).to_numpy(), t.column(1).to_numpy())
+
+
+def closing(tail: str, length: int, field_limit: int | None, known: Lexicon) -> list[str]:
     """Names of the features of a text with these last characters, length and limit of its source."""
     text = tail.rstrip()
     blank = "b" if len(text) < len(tail) else ""
@@ -120,14 +180,13 @@ def closing(tail: str, length: int, field_limit: int | None, known: dict[str, tu
     near = "0" if 0 <= gap <= 1 else "+" if gap < 0 else "2" if gap <= 4 else "n"
     shape = "".join(map(kind, core[-12:]))
     last = shape[-1:] or "0"
-    sentence = re.split(rf"[{END}\n](?=\D|$)", core)[-1]
-    parts = PIECE.findall(core)[-7:]
-    mask = masked(parts)
+    sentence = STOP.split(core)[-1]
+    inside = PIECE.findall(sentence)
+    parts = inside[-7:] if len(inside) >= 7 else PIECE.findall(core)[-7:]
+    mask = [MASKS[x] for x in parts]
     word = parts[-1].lower() if parts else ""
-    own = [*dict.fromkeys(masked(PIECE.findall(sentence)))]
-    seen, stops = known.get(units([p.lower() for p in parts])[-1], (0, 0)) if parts else (0, 0)
-    share = 0 if not stops else 1 + sum(stops >= x * seen for x in (0.02, 0.1, 0.3, 0.6))
-    often = "d" if not word[:1].isalpha() else f"{0 if not seen else 1 if seen < 3 else 2 if seen < 30 else 3}p{share}"
+    own = [*dict.fromkeys([MASKS[x] for x in inside])]
+    often = "d" if not word[:1].isalpha() else known[units([p.lower() for p in parts[-2:]])[-1]]
     out = ["1", f"m{mark}l{last}", f"b{blank}l{last}", f"n{near}l{last}", f"n{near}l{last}m{mark}", f"l{last}", f"o{often}l{last}", f"o{often}{parts[-1][:1].isupper() if parts else ''}l{last}m{mark}"]
     out += [f"s{shape[-2:]}", f"s{shape[-3:]}m{mark}", f"s{shape[-5:]}", f"k{min(length, 99) // 8}l{last}", f"z{min(len(own), 24) // 3}l{last}", f"r{'/' in own}{';' in own or '/' in own}l{last}"]
     out += [f"{n}{' '.join(mask[-n:])}" for n in range(1, 7)]
@@ -137,11 +196,13 @@ def closing(tail: str, length: int, field_limit: int | None, known: dict[str, tu
     return out
 
 
-def feature_rows(rows: list[tuple[str, int, int | None]], known: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    names = [closing(*r, known) for r in rows]
-    count = np.array([len(x) for x in names], np.int64)
-    cols = np.fromiter((xxhash.xxh32_intdigest(f) % WIDTH for x in names for f in x), np.int64, int(count.sum()))
-    return np.repeat(np.arange(len(rows)), count), cols
+def feature_rows(rows: list[tuple[str, int, int | None]], known: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    digest, count, cols = xxhash.xxh32_intdigest, [], []
+    for r in rows:
+        names = closing(*r, known)
+        count.append(len(names))
+        cols += map(digest, names)
+    return np.repeat(np.arange(len(rows)), count), np.array(cols, np.int64) % WIDTH
 
 
 def cut(text: str, rng: np.random.Generator) -> tuple[str, int, bool] | None:
@@ -176,71 +237,139 @@ def examples(batches):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kinds, pa.int32()), pa.array(tails, pa.string()), pa.array(sizes, pa.int32())], names=[*part.schema.names, "kind", "tail", "size"])
 
 
-def fit(rows: list[tuple[str, int, int | None]], y: np.ndarray, known: dict[str, tuple[int, int]]) -> np.ndarray | None:
-    """Weights from (tail, length, limit) of texts as they stand (0) and cuts (1); None without both.
+def chosen(r: np.ndarray, c: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the rows to keep, renumbered."""
+    take = keep[r]
+    return (np.cumsum(keep) - 1)[r[take]], c[take]
+
+
+def merged(r: np.ndarray, c: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    """(r, c, y, weight) with rows of the same features and kind made one of their weights' sum, which is fitted alike."""
+    key = np.add.reduceat(MIXED[c], np.searchsorted(r, np.arange(len(y)))) << U(1) | y.astype(U)
+    _, at, of = np.unique(key, return_index=True, return_inverse=True)
+    keep = np.zeros(len(y), bool)
+    keep[at] = True
+    total = np.bincount(of, weight)
+    return *chosen(r, c, keep), y[keep], total[of[keep]]
+
+
+def fit(r: np.ndarray, c: np.ndarray, y: np.ndarray) -> np.ndarray | None:
+    """Weights from the features of texts as they stand (0) and cuts (1); None without both.
 
     As a few of these texts are cut themselves, those that a first fit, on common features, finds cut take no part in the
     second. Rare features have no weight, so that no example is learnt by heart.
     """
     if not len(y) or y.min() == y.max():
         return None
-    r, c = feature_rows(rows, known)
     for least in (60, 6):
         rare = np.bincount(c, minlength=WIDTH) < min(least, len(y) / 8)
-        w = logistic_fit(r, np.where(rare[c], WIDTH, c), y, WIDTH + 1, np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())))[:WIDTH]
+        rows, columns, kinds, weight = merged(r, np.where(rare[c], WIDTH, c), y, np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())))
+        w = logistic_fit(rows, columns, kinds, WIDTH + 1, weight)[:WIDTH]
         w[rare] = 0
         keep = (y > 0) | (logistic_scores(r, c, len(y), w) < 0)
         if keep.all() or not (keep & (y == 0)).any():
             continue
-        of = np.cumsum(keep) - 1
-        take = keep[r]
-        r, c, y = of[r[take]], c[take], y[keep]
+        (r, c), y = chosen(r, c, keep), y[keep]
     return w
 
 
-def threshold_of(cuts: np.ndarray, least: int = LEAST_HELD) -> float:
-    """The log-odds that all but LOSS of the held-out cuts pass, and HIGHEST at most.
+def fit_part(found: list[tuple], known: Lexicon, lim: dict, out: bool | None):
+    """(weights without the held-out texts, weights of all, held-out examples as (source, cut, columns)) of the examples (h, kind, tail, size, source) of a part.
 
-    Texts cut in earnest score lower than artificial cuts, as the few among the texts of the fit count as intact there; so the
-    threshold stays below what the cuts alone would allow.
+    ``out``: whether the part is held out as a whole; None: a fifth of it is.
     """
-    return THRESHOLD if len(cuts) < least else min(HIGHEST, float(np.quantile(cuts, LOSS)))
-
-
-def fitted(t: DataFrame, keys: list[str], by: list[str], most_fit: int) -> tuple[np.ndarray | None, dict, dict, float, list[tuple]]:
-    """(weights, lexicon, limits, threshold, held-out examples as (by .., cut, odds)) for texts (keys, by, _text, _len)."""
-    counts = materialize(t.groupBy(*by, "_len").count(), "lengths")
-    rows = counts.agg(F.sum("count")).first()[0] or 0
-    lim = {tuple(r[b] for b in by): r["field_limit"] for r in limits(counts, by, "_len").collect()} if by else {}  # one row per source that has a limit
-    h = F.xxhash64(*keys, "_text")
-    sample = materialize(sampled(t, [*keys, "_text"], rows, most_fit).select(h.alias("h"), *by, "_text").dropDuplicates(["h"]), "sample")
-    schema = sample.drop("_text").schema.add("kind", "integer").add("tail", "string").add("size", "integer")
-    found = sorted(sample.mapInArrow(examples, schema).collect(), key=lambda r: (r["h"], r["kind"], r["tail"]))  # about 3 * most_fit tails
-    known = {r["word"]: (r["seen"], r["stops"]) for r in sample.mapInArrow(lexicon, "word string, seen long, stops long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("stops").alias("stops")).collect()}  # the sample's vocabulary
     rng = np.random.default_rng(11)
     rows, y, held, of = [], [], [], []
-    for r in found:
-        source = tuple(r[b] for b in by)
+    for h, k, tail, size, source in found:
         limit = lim.get(source)
-        if not r["kind"]:
-            if limit is not None and r["size"] >= limit - 1:
+        if not k:
+            if limit is not None and size >= limit - 1:
                 continue
-            if r["tail"].rstrip()[-1:] in END and rng.random() < 0.03:
-                limit = r["size"]
+            if tail.rstrip()[-1:] in END and rng.random() < 0.03:
+                limit = size
         else:
-            limit = r["size"] if r["kind"] == 2 else None
-        rows.append((r["tail"], r["size"], limit))
-        y.append(float(r["kind"] > 0))
-        held.append(r["h"] % 5 == 0)
+            limit = size if k == 2 else None
+        rows.append((tail, size, limit))
+        y.append(float(k > 0))
+        held.append(h % 5 == 0 if out is None else out)
         of.append(source)
     y, held = np.array(y), np.array(held, bool)
-    w = fit([x for x, out in zip(rows, held) if not out], y[~held], known)
-    if w is None or not held.any():
-        return w, known, lim, THRESHOLD, []
-    r, c = feature_rows([x for x, out in zip(rows, held) if out], known)
-    odds = logistic_scores(r, c, int(held.sum()), w)
-    report = [(*s, bool(k), float(o)) for s, k, o in zip([s for s, out in zip(of, held) if out], y[held], odds)]
-    return fit(rows, y, known), known, lim, threshold_of(odds[y[held] > 0]), report
+    r, c = feature_rows(rows, known)
+    first = fit(*chosen(r, c, ~held), y[~held]) if not held.all() else None
+    whole = fit(r, c, y) if held.any() and (first is not None or out) else first
+    if whole is None:
+        return None, None, []
+    columns = np.split(c, np.cumsum(np.bincount(r, minlength=len(y)))[:-1]) if held.any() else []
+    return first, whole, [(s, k > 0, x) for s, k, x, h in zip(of, y, columns, held) if h]
+
+
+def threshold_of(cuts: dict[float, int], least: int = LEAST_HELD) -> float:
+    """The log-odds that all but LOSS of the held-out cuts pass, and HIGHEST at most. ``cuts`` counts them by their log-odds.
+
+    Texts cut in earnest score lower than artificial cuts, as the few among the texts of the fit count as intact there; so the
+    threshold stays below what the cuts alone would allow.
+    """
+    n = sum(cuts.values())
+    if n < least:
+        return THRESHOLD
+    odds = sorted(cuts)
+    upto = np.cumsum([cuts[x] for x in odds])
+    place = (n - 1) * LOSS
+    low, high = (odds[int(np.searchsorted(upto, at, "right"))] for at in (int(place), min(int(place) + 1, n - 1)))
+    return min(HIGHEST, low + (high - low) * (place - int(place)))
+
+
+def fitted(t: DataFrame, keys: list[str], by: list[str], part: int) -> tuple[np.ndarray | None, Lexicon, dict, float, DataFrame]:
+    """(weights, lexicon, limits, threshold, held-out examples as (by .., cut, odds)) for texts (keys, by, _text, _len)."""
+    sc = t.sparkSession.sparkContext
+    counts = materialize(t.groupBy(*by, "_len").count(), "lengths")
+    lim = {tuple(r[b] for b in by): r["field_limit"] for r in limits(counts, by, "_len").collect()} if by else {}  # one row per source that has a limit
+    texts = materialize(t.select(F.xxhash64(*keys, "_text").alias("h"), *by, "_text").dropDuplicates(["h"]), "texts")
+    n = texts.count()
+    parts = max(1, -(-n // part))
+    known = lexicon_of(texts, min(1.0, part / max(n, 1)))
+    model = sc.broadcast((known, lim))
+    sources = [StructField(f.name, f.dataType) for f in t.select(*by).schema]
+    schema = StructType([*sources]).add("cut", "boolean").add("columns", ArrayType(IntegerType())).add("first", ArrayType(DoubleType())).add("whole", ArrayType(DoubleType()))
+    arrow = to_arrow_schema(schema)
+    own = len(by) + 1
+
+    def record(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def learn(batches):  # a partition is a part
+        found = [(r[0], *r[own:], r[1:own]) for b in batches for r in zip(*(x.to_pylist() for x in b.columns))]
+        if not found:
+            return
+        out = None if parts < 5 else (found[0][0] >> 20) % parts < (parts + 2) // 5
+        first, whole, held = fit_part(sorted(found, key=lambda r: r[:3]), *model.value, out)
+        if whole is not None:
+            used = np.flatnonzero((whole != 0) | (first is not None and first != 0)).astype(np.int32)
+            yield record([(*[None] * len(by), None, used, None if first is None else first[used], whole[used])])
+        for i in range(0, len(held), 10_000):
+            yield record([(*source, cut, columns.astype(np.int32), None, None) for source, cut, columns in held[i : i + 10_000]])
+
+    shown = texts.mapInArrow(examples, texts.drop("_text").schema.add("kind", "integer").add("tail", "string").add("size", "integer"))
+    learnt = materialize(shown.repartitionById(parts, F.pmod(F.shiftright("h", 20), F.lit(parts)).cast("int")).mapInArrow(learn, schema), "fits")
+    discard(texts)
+    weights = learnt.where("whole is not null")
+    fits = weights.agg(F.count("first").alias("first"), F.count("whole").alias("whole")).first()
+    means = weights.withColumn("first", F.coalesce("first", F.transform("whole", lambda x: F.lit(0.0)))).select(F.explode(F.arrays_zip("columns", "first", "whole")).alias("w")).groupBy("w.columns").agg(F.sum("w.first").alias("first"), F.sum("w.whole").alias("whole")).toArrow()  # WIDTH rows at most
+    first, whole = np.zeros(WIDTH), np.zeros(WIDTH)
+    for w, column in ((first, "first"), (whole, "whole")):
+        w[means.column("columns").to_numpy()] = means.column(column).to_numpy() / max(fits[column], 1)
+    model = sc.broadcast(first)
+
+    def score(batches):
+        for batch in batches:
+            columns = batch.column(len(sources) + 1)
+            size = np.diff(columns.offsets.to_numpy())
+            odds = logistic_scores(np.repeat(np.arange(len(size)), size), columns.flatten().to_numpy(), len(size), model.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(odds)], names=[*batch.schema.names[:-1], "odds"])
+
+    held = learnt.where("whole is null").select(*by, "cut", "columns").mapInArrow(score, StructType([*sources]).add("cut", "boolean").add("odds", "double"))
+    cuts = {r["at"]: r["count"] for r in held.where("cut").groupBy(F.round("odds", 3).alias("at")).count().collect()}  # log-odds by thousandths
+    return whole if fits["whole"] else None, known, lim, threshold_of(cuts), held
 
 
 def prepared(df: DataFrame, keys: list[str], text_col: str, by: list[str]) -> DataFrame:
@@ -249,24 +378,21 @@ def prepared(df: DataFrame, keys: list[str], text_col: str, by: list[str]) -> Da
     return df.where(text.isNotNull() & text.rlike(r"[\p{L}\p{N}]")).select(*names, text.alias("_text"), F.length(text).alias("_len"), F.right(text, F.lit(TAIL)).alias("_tail"))
 
 
-def holdout(df: DataFrame, keys: list[str], text_col: str, by: list[str], most_fit: int = MOST_FIT) -> DataFrame:
+def holdout(df: DataFrame, keys: list[str], text_col: str, by: list[str], part: int = PART) -> DataFrame:
     """by, cuts, found, recall, texts, called, threshold: of the held-out cuts how many are found, and of the texts as they stand (a few of them cut) how many are called truncated."""
-    *_, threshold, held = fitted(prepared(df, keys, text_col, by), keys, by, most_fit)
-    sums: dict[tuple, list[int]] = {}
-    for *source, is_cut, odds in held:
-        s = sums.setdefault(tuple(source), [0, 0, 0, 0])
-        s[2 * (not is_cut)] += 1
-        s[2 * (not is_cut) + 1] += odds > threshold
-    rows = [(*k, v[0], v[1], round(v[1] / v[0], 6) if v[0] else None, v[2], v[3], threshold) for k, v in sorted(sums.items(), key=str)]
-    return df.sparkSession.createDataFrame(rows, ", ".join([*(f"{b} string" for b in by), "cuts long, found long, recall double, texts long, called long, threshold double"]))
+    *_, threshold, held = fitted(prepared(df, keys, text_col, by), keys, by, part)
+    cut, over = F.col("cut").cast("int"), (F.col("odds") > threshold).cast("int")
+    sums = held.groupBy(*by).agg(F.sum(cut).alias("cuts"), F.sum(cut * over).alias("found"), F.sum(1 - cut).alias("texts"), F.sum((1 - cut) * over).alias("called"))
+    recall = F.round(F.try_divide("found", "cuts"), 6)
+    return sums.where("cuts + texts > 0").select(*by, "cuts", "found", recall.alias("recall"), "texts", "called", F.lit(threshold).alias("threshold"))
 
 
-def truncated(df: DataFrame, keys: list[str], text_col: str, by: list[str], most_fit: int = MOST_FIT, threshold: float | None = None) -> DataFrame:
+def truncated(df: DataFrame, keys: list[str], text_col: str, by: list[str], part: int = PART, threshold: float | None = None) -> DataFrame:
     """keys, by, truncated (boolean), odds of each distinct text of ``df``; ``by`` names the columns a limit belongs to."""
     spark = df.sparkSession
     t = prepared(df, keys, text_col, by)
     names = [*keys, *[b for b in by if b not in keys]]
-    weights, words, lim, found, _ = fitted(t, keys, by, most_fit)
+    weights, words, lim, found, _ = fitted(t, keys, by, part)
     bar = found if threshold is None else threshold
     model = spark.sparkContext.broadcast((None if weights is None else weights.astype(np.float32), words, lim))
     schema = t.select(*names).schema
