@@ -24,25 +24,46 @@ def softmax_classes(model, x: np.ndarray) -> np.ndarray:
     return (np.c_[(x - mean) / scale, np.ones(len(x))] @ b).argmax(1)
 
 
-def logistic_fit(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray | None = None, rounds: int = 150, ridge: float = 1.0) -> np.ndarray:
+def logistic_fit(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray | None = None, rounds: int = 150, ridge: float = 1.0, also: np.ndarray | None = None) -> np.ndarray:
     """Logistic regression on hashed binary features given as (row, column) pairs.
 
     Accelerated gradient descent, each coordinate scaled by a bound of its curvature; ``ridge`` counts as so many examples.
+    ``also``: a further feature, given as a number of each row, that is fitted but not returned.
     """
     n = len(y)
     weight = np.ones(n) if weight is None else weight
-    used, at = np.unique(columns, return_inverse=True)
-    step = 1 / (np.bincount(rows, minlength=n).max() * (0.25 * np.bincount(at, weight[rows], len(used)) + ridge))
-    order = np.argsort(rows, kind="stable")
-    by_row, (present, row_starts) = at[order], np.unique(rows[order], return_index=True)
-    order = np.argsort(at, kind="stable")
-    by_column, column_starts = rows[order], np.searchsorted(at[order], np.arange(len(used)))
-    score, w, buffer = np.zeros(n), np.zeros(len(used)), np.zeros(len(at))
+    also = np.zeros(n) if also is None else also.astype(float)
+    size = np.bincount(rows, minlength=n)
+    order = np.argsort(size, kind="stable")  # rows of so many features each stand together, to be added feature by feature
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    y, weight, also = y[order], weight[order], also[order]
+    used = np.flatnonzero(np.bincount(columns, minlength=width))
+    number = np.zeros(width, np.int64)
+    number[used] = np.arange(len(used))
+    at, rows_of = number[columns], place[rows]
+    curvature = np.append(np.bincount(at, weight[rows_of], len(used)), np.sum(weight * also))
+    step = 1 / ((size[order] + also).max() * (0.25 * curvature + ridge))
+    first = np.cumsum(size) - size
+    by = np.argsort(rows, kind="stable")
+    blocks, by_row = [], []
+    for k in np.unique(size[size > 0]):
+        low, high = np.searchsorted(size[order], (k, k + 1))
+        blocks.append((slice(low, high), slice(sum(map(len, by_row)), sum(map(len, by_row)) + k * (high - low)), k))
+        by_row.append(at[by[first[order[low:high]] + np.arange(k)[:, None]]].ravel())
+    by_row = np.concatenate(by_row)
+    by = np.argsort(at.astype(np.uint16) if len(used) <= 1 << 16 else at, kind="stable")  # two bytes are sorted by radix
+    by_column, column_starts = rows_of[by], np.searchsorted(at[by], np.arange(len(used)))
+    score, w, g, buffer = np.zeros(n), np.zeros(len(step)), np.zeros(len(step)), np.zeros(len(at))
     ahead, t = w, 1.0
     for _ in range(rounds):
-        score[present] = np.add.reduceat(ahead.take(by_row, out=buffer, mode="clip"), row_starts)
-        err = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y) * weight
-        g = np.add.reduceat(err.take(by_column, out=buffer, mode="clip"), column_starts) + ridge * ahead
+        ahead.take(by_row, out=buffer, mode="clip")
+        for those, part, k in blocks:
+            np.add.reduce(buffer[part].reshape(k, -1), axis=0, out=score[those])
+        err = (1 / (1 + np.exp(-np.clip(score + ahead[-1] * also, -30, 30))) - y) * weight
+        g[:-1] = np.add.reduceat(err.take(by_column, out=buffer, mode="clip"), column_starts)
+        g[-1] = np.sum(err * also)
+        g += ridge * ahead
         new = ahead - step * g
         following = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead = new + (t - 1) / following * (new - w)
@@ -50,7 +71,7 @@ def logistic_fit(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: in
             ahead, following = new, 1.0
         w, t = new, following
     out = np.zeros(width)
-    out[used] = w
+    out[used] = w[:-1]
     return out
 
 
