@@ -21,7 +21,7 @@ def folder(spark, tmp_path, monkeypatch):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["C11_context_packing", "R1_bm25", "T1_bm25_topk"])
+@pytest.mark.parametrize("name", ["C11_context_packing", "R1_bm25", "T1_bm25_topk", "Q20_corpus_order"])
 def test_every_query_is_answered(spark, folder, name):
     duck = duckdb.connect()
     for t in ("documents", "queries"):
