@@ -1,9 +1,11 @@
 """Searches over all queries, not over those whose id is divisible by 50: every query that shares a word with a document is answered."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from recollect.operators import retrieval as R
+from recollect.operators import scoring
 from recollect.plans.catalog import QUERIES, SQL
 
 WORDS = "knee pain sleep back tea walk rain fish salt milk".split()
@@ -32,3 +34,15 @@ def test_every_query_is_answered(spark, folder, name):
     got = plain(map(tuple, df.collect()))
     assert {r[0] for r in got} == {*range(1, 12), 49, 50, 51, 100}
     assert got == plain(want)
+
+
+def test_a_block_of_queries_holds_its_terms_alone():
+    """Of many blocks at once in a task none keeps a matrix of queries and terms, which is made for the documents at hand."""
+    rng = np.random.default_rng(1)
+    w = rng.random((2048, 300)) * (rng.random((2048, 300)) < 0.2)
+    rows, codes = np.nonzero(w)
+    x = scoring.Chunk(0, 2048, rows, codes, w[rows, codes], 300)
+    assert sum(v.nbytes for v in vars(x).values() if isinstance(v, np.ndarray)) < 2 * (rows.nbytes + codes.nbytes + w[rows, codes].nbytes)
+    docs = rng.random((40, 300)) * (rng.random((40, 300)) < 0.2)
+    [(lo, s)] = x.scores(40, *np.nonzero(docs), docs[docs > 0])
+    assert lo == 0 and np.allclose(s, w @ docs.T)
